@@ -1,4 +1,234 @@
-"""The registered queries and the SQL that checks them."""
+"""The registered queries over whole tables, and the SQL that checks them.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Bytes leave as upper-case hex, so that results compare as strings; in the SQL a text is its hex, two digits a byte, whose
+order is the order of the bytes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import check, index, intervals, matching, ranges, repeats, search, strings
+from ..sources.texts import doubled, reversed_bytes, texts, two_texts
+
+WORD, PASSAGE = "the", 32
+
+
+def _table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _items(spark, d):
+    return texts(_table(spark, d, "benchmark"), "item_id", "text")
+
+
+def _names(spark, d):
+    return texts(_table(spark, d, "part"), "p_partkey", "p_name")
+
+
+def _documents(spark, d):
+    return texts(_table(spark, d, "documents"), "doc_id", "text")
+
+
+def _pairs(spark, d):
+    """Each benchmark item with the one whose id follows."""
+    t = _items(spark, d)
+    return t.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("text1")).join(t.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("text2")), "pair_id")
+
+
+def _index(spark, d):
+    return index.build_index(_items(spark, d))
+
+
+def _hexed(df, *columns):
+    return df.withColumns({c: F.hex(c) for c in columns})
+
+
+def _windows(spark, d):
+    """Range-minimum questions: the 2k + 1 ranks around each rank, k = rank mod 7, cut at the ends."""
+    i = _index(spark, d).select("doc_id", F.col("rank").alias("k"), F.col("lcp").alias("val"))
+    n = i.groupBy("doc_id").agg((F.max("k") + 1).alias("n"))
+    q = i.join(n, "doc_id").select("doc_id", F.greatest(F.col("k") - F.col("k") % 7, F.lit(0)).alias("i"), F.least(F.col("k") + F.col("k") % 7, F.col("n") - 1).alias("j"))
+    return i, q
+
+
+def _long_ranges(spark, d):
+    """From each rank to the end, over several blocks."""
+    i = _index(spark, d).select("doc_id", F.col("rank").alias("k"), F.col("lcp").alias("val"))
+    n = i.groupBy("doc_id").agg((F.max("k") + 1).alias("n"))
+    return ranges.rmq(i, i.join(n, "doc_id").select("doc_id", F.col("k").alias("i"), (F.col("n") - 1).alias("j")), block=16)
+
+
+def _integers(spark, d):
+    """The sizes and keys of parts as numbers to work on."""
+    n = F.col("p_partkey").cast("long") * 37 + F.col("p_size")
+    p = _table(spark, d, "part").select("p_partkey", n.alias("n"), F.col("p_size"))
+    i = F.col("n").cast("int")
+    return p.select(
+        "p_partkey", scalars.log2i(F.col("n")).alias("log2i"), scalars.lsb(F.col("n")).alias("lsb"), scalars.high_bits((F.col("n") % 20).cast("int")).alias("high_bits"), scalars.popcount(F.col("n")).alias("popcount"),
+        scalars.parity(F.col("n")).alias("parity"), scalars.ctz(i, 32).alias("ctz32"), scalars.ctz(F.col("n"), 64).alias("ctz64"), scalars.clz(i, 32).alias("clz32"), scalars.clz(F.col("n"), 64).alias("clz64"), scalars.ffs(F.col("n")).alias("ffs"),
+        scalars.min2(F.col("n"), F.col("p_partkey")).cast("long").alias("min2"), scalars.max2(F.col("n") % 100, F.col("p_size").cast("long")).alias("max2"),
+        scalars.argmin2(F.col("p_size"), F.lit(1), F.lit(25), F.lit(2)).alias("argmin2"), scalars.argmin3(F.col("p_size"), F.lit(1), F.lit(25), F.lit(2), (F.col("n") % 30).cast("int"), F.lit(3)).alias("argmin3"),
+        scalars.catalan((F.col("p_size") % 16).cast("int") + 1).alias("catalan"),
+    )
+
+
+QUERIES = {
+    "suffix_array": lambda s, d: index.suffix_array(_index(s, d)),
+    "suffix_array_short": lambda s, d: index.suffix_array(index.build_index(_names(s, d), "sql")),
+    "inverse_suffix_array": lambda s, d: index.inverse_suffix_array(_index(s, d)),
+    "lcp": lambda s, d: index.lcp_array(_index(s, d)),
+    "lcp_short": lambda s, d: index.build_index(_names(s, d), "sql").select("doc_id", "rank", "lcp"),
+    "bwt": lambda s, d: _hexed(index.bwt(_index(s, d)), "bwt"),
+    "bwt_with_sentinel": lambda s, d: _hexed(index.bwt(_index(s, d), _items(s, d)), "bwt"),
+    "packed_index": lambda s, d: index.packed(_index(s, d)).select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("sa", "isa", "lcp"))),
+    "byte_buckets": lambda s, d: index.byte_buckets(_items(s, d)),
+    "index_size": lambda s, d: index.index_size(_index(s, d)),
+    "document_index": lambda s, d: index.index_kernel(_documents(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("pos_sum"), F.max(F.when(F.col("rank") == 0, F.col("pos"))).alias("first")).where("n > 0").select("doc_id", "n", "pos_sum"),
+    "doubled": lambda s, d: _hexed(doubled(_names(s, d)), "text"),
+    "reversed": lambda s, d: _hexed(reversed_bytes(_names(s, d)), "text"),
+    "two_texts": lambda s, d: _hexed(two_texts(_items(s, d), _names(s, d)), "text"),
+    "find": lambda s, d: search.find(_documents(s, d), WORD),
+    "find_sorted": lambda s, d: search.find_sorted(_items(s, d), WORD),
+    "find_indexed": lambda s, d: search.find_indexed(_index(s, d), _items(s, d), WORD),
+    "find_empty": lambda s, d: search.find_sorted(_items(s, d), ""),
+    "find_many": lambda s, d: search.find_many(_documents(s, d), _table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))),
+    "occ": lambda s, d: _table(s, d, "documents").select("doc_id", search.occ(F.col("text"), WORD).alias("occ")),
+    "occ_overlapping": lambda s, d: _table(s, d, "benchmark").select("item_id", search.occ(F.col("text"), "ene").alias("occ")),
+    "occ_empty": lambda s, d: _table(s, d, "documents").select("doc_id", search.occ(F.col("text"), "").alias("occ")),
+    "contains": lambda s, d: _table(s, d, "documents").where(search.contains(F.col("text"), "idiot")).select("doc_id"),
+    "sa_interval": lambda s, d: search.sa_interval(_index(s, d), _items(s, d), WORD),
+    "bisect": lambda s, d: search.bisect(_index(s, d), _items(s, d), WORD),
+    "rmq": lambda s, d: ranges.rmq(*_windows(s, d)),
+    "rmq_blocks": _long_ranges,
+    "block_numbers": lambda s, d: _index(s, d).select("doc_id", "rank", *(ranges.block_numbers(F.col("rank"))[c].alias(c) for c in ("microblock", "block", "superblock"))),
+    "sparse_table_size": lambda s, d: ranges.sparse_table_size(_index(s, d)),
+    "children": lambda s, d: intervals.children(_index(s, d)),
+    "tree": lambda s, d: intervals.tree(_items(s, d)).select("doc_id", "lcp", "lb", "rb", "is_leaf"),
+    "tree_parents": lambda s, d: _parents(intervals.tree(_items(s, d))),
+    "postorder": lambda s, d: intervals.postorder(intervals.tree(_items(s, d))).select("doc_id", "ord", "lcp", "lb", "rb"),
+    "preorder": lambda s, d: intervals.preorder(intervals.tree(_items(s, d))),
+    "interval_text": lambda s, d: intervals.tree(_items(s, d)).where("NOT is_leaf").select("doc_id", intervals.shown(F.col("lcp"), F.col("lb"), F.col("rb")).alias("shown")),
+    "lrs": lambda s, d: _hexed(repeats.longest_repeated_substring(_index(s, d), _items(s, d)), "substring"),
+    "supermaximal": lambda s, d: _hexed(repeats.supermaximal_repeats(_items(s, d)), "substring"),
+    "tandem": lambda s, d: _hexed(repeats.tandem_repeats(_items(s, d)), "unit"),
+    "tandem_sql": lambda s, d: _hexed(repeats.tandem_repeats_sql(_names(s, d)), "unit"),
+    "tandem_primitive": lambda s, d: _hexed(repeats.primitive_tandem_repeats(_items(s, d)), "unit"),
+    "lcs": lambda s, d: _hexed(matching.longest_common_substring(_pairs(s, d)), "result"),
+    "mum": lambda s, d: _hexed(matching.maximal_unique_matches(_pairs(s, d)), "substring").drop("ord"),
+    "shared_passage": lambda s, d: matching.longest_shared_passage(_documents(s, d), _items(s, d).withColumnRenamed("doc_id", "item_id"), PASSAGE),
+    "palindrome": lambda s, d: _hexed(strings.longest_palindrome(_items(s, d)), "result"),
+    "lcs_with_reverse": lambda s, d: _hexed(strings.lcs_with_reverse(_names(s, d)), "result"),
+    "rotation": lambda s, d: _hexed(strings.minimum_rotation(_items(s, d)), "result"),
+    "rotation_sql": lambda s, d: _hexed(strings.minimum_rotation_sql(_names(s, d)), "result"),
+    "lz_factors": lambda s, d: _hexed(strings.lz_factors(_items(s, d)), "factor"),
+    "integrity": lambda s, d: check.violations(_index(s, d), _items(s, d)),
+    "integrity_broken": lambda s, d: check.violations(_index(s, d).withColumn("lcp", F.col("lcp") + (F.col("rank") == 3).cast("int")), _items(s, d)),
+    "integer_helpers": _integers,
+    "catalan_triangle": lambda s, d: scalars.catalan_triangle(s, 20),
+}
+
+
+def _parents(nodes):
+    up = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("lb").alias("plb"), F.col("rb").alias("prb"))
+    return nodes.where("parent_id IS NOT NULL").join(up, ["doc_id", "parent_id"]).select("doc_id", "lb", "rb", "is_leaf", "plb", "prb")
+
+
+def _source(table: str, key: str, column: str) -> str:
+    return f"t AS (SELECT {key} AS doc_id, hex(encode({column})) AS h, strlen({column}) AS n FROM {table})"
+
+
+_SFX = """,
+s AS (SELECT doc_id, h, n, unnest(range(n)) AS pos FROM t),
+sa AS (SELECT doc_id, h, n, pos, substr(h, 2 * pos + 1) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY substr(h, 2 * pos + 1)) - 1 AS rank FROM s)"""
+_LCP = """,
+b AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY rank), '') AS y FROM sa),
+i AS (SELECT doc_id, h, n, pos, x, rank, coalesce(list_max(list_filter(range(least(length(x), length(y)) // 2 + 1), lambda k: left(x, 2 * k) = left(y, 2 * k))), 0) AS lcp FROM b)"""
+_TREE = """,
+e AS (SELECT doc_id, n, rank, lcp FROM i),
+iv AS (SELECT DISTINCT a.doc_id, a.n, a.lcp, (SELECT max(c.rank) FROM e c WHERE c.doc_id = a.doc_id AND c.rank < a.rank AND (c.lcp < a.lcp OR c.rank = 0)) AS lb,
+  coalesce((SELECT min(c.rank) FROM e c WHERE c.doc_id = a.doc_id AND c.rank > a.rank AND c.lcp < a.lcp), a.n) - 1 AS rb FROM e a WHERE a.rank > 0 AND a.lcp > 0),
+nd AS (SELECT doc_id, n, lcp, lb, rb, false AS is_leaf FROM iv UNION ALL SELECT doc_id, n, 0, 0, n - 1, false FROM t WHERE n > 0 UNION ALL SELECT doc_id, n, n - pos, rank, rank, true FROM i)"""
+_ITEMS, _NAMES_T = _source("benchmark", "item_id", "text"), _source("part", "p_partkey", "p_name")
+_I = f"WITH {_ITEMS}{_SFX}{_LCP}"
+_S = f"WITH {_ITEMS}{_SFX}"
+_N = f"WITH {_NAMES_T}{_SFX}{_LCP}"
+_T = f"{_I}{_TREE}"
+_OCC = f"""WITH p AS (SELECT doc_id, string_split(text, '{WORD}') AS w FROM documents),
+q AS (SELECT doc_id, unnest(w[1:len(w) - 1]) AS w, generate_subscripts(w[1:len(w) - 1], 1) AS k FROM p)"""
+_HEXQ = WORD.encode().hex().upper()
+_TANDEM = f"""WITH {{src}},
+p AS (SELECT doc_id, h, n, unnest(range(1, n // 2 + 1)) AS period FROM t),
+k AS (SELECT doc_id, h, period, unnest(range(n - period)) AS k FROM p),
+m AS (SELECT doc_id, h, period, k, k - row_number() OVER (PARTITION BY doc_id, period ORDER BY k) AS g FROM k WHERE substr(h, 2 * k + 1, 2) = substr(h, 2 * (k + period) + 1, 2)),
+r AS (SELECT doc_id, period, min(h) AS h, min(k) AS "left", max(k) + 1 + period AS "right" FROM m GROUP BY doc_id, period, g HAVING count(*) >= period)"""
+_PAIRS = """WITH t AS (SELECT item_id, hex(encode(text)) AS h, strlen(text) AS n FROM benchmark),
+p AS (SELECT a.item_id AS pair_id, a.h AS a, a.n AS na, b.h AS b, b.n AS nb FROM t a JOIN t b ON b.item_id = a.item_id + 1)"""
+_GRAMS = """,
+ga AS (SELECT pair_id, substr(a, 2 * i + 1, 2 * l) AS v, count(*) AS c, min(i) AS i FROM (SELECT pair_id, a, na, i, unnest(range(1, na - i + 1)) AS l FROM (SELECT pair_id, a, na, unnest(range(na)) AS i FROM p)) GROUP BY 1, 2),
+gb AS (SELECT pair_id, substr(b, 2 * i + 1, 2 * l) AS v, count(*) AS c, min(i) AS i FROM (SELECT pair_id, b, nb, i, unnest(range(1, nb - i + 1)) AS l FROM (SELECT pair_id, b, nb, unnest(range(nb)) AS i FROM p)) GROUP BY 1, 2)"""
+_OWN = """,
+u AS (SELECT doc_id, h, n, i, unnest(range(1, n - i + 1)) AS l FROM (SELECT doc_id, h, n, unnest(range(n)) AS i FROM t)),
+g AS (SELECT doc_id, substr(h, 2 * i + 1, 2 * l) AS v, count(*) AS c FROM u GROUP BY 1, 2)"""
+
+ORACLE_SQL = {
+    "suffix_array": f"{_S} SELECT doc_id, rank, pos FROM sa",
+    "suffix_array_short": f"WITH {_NAMES_T}{_SFX} SELECT doc_id, rank, pos FROM sa",
+    "inverse_suffix_array": f"{_S} SELECT doc_id, pos, rank FROM sa",
+    "lcp": f"{_I} SELECT doc_id, rank AS i, lcp FROM i UNION ALL SELECT doc_id, n, 0 FROM t WHERE n > 0",
+    "lcp_short": f"{_N} SELECT doc_id, rank, lcp FROM i",
+    "bwt": f"{_S} SELECT doc_id, string_agg(CASE WHEN pos = 0 THEN '00' ELSE substr(h, 2 * pos - 1, 2) END, '' ORDER BY rank) AS bwt FROM sa GROUP BY doc_id",
+    "bwt_with_sentinel": f"{_S} SELECT doc_id, right(min(h), 2) || string_agg(CASE WHEN pos = 0 THEN '00' ELSE substr(h, 2 * pos - 1, 2) END, '' ORDER BY rank) AS bwt, max(CASE WHEN pos = 0 THEN rank + 1 END) AS \"primary\" FROM sa GROUP BY doc_id",
+    "packed_index": f"{_I} SELECT doc_id, string_agg(pos::VARCHAR, ',' ORDER BY rank) AS sa, string_agg(rank::VARCHAR, ',' ORDER BY pos) AS isa, string_agg(lcp::VARCHAR, ',' ORDER BY rank) || ',0' AS lcp FROM i GROUP BY doc_id",
+    "byte_buckets": f"WITH {_ITEMS}, e AS (SELECT doc_id, substr(h, 2 * i + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(n)) AS i FROM t)), c AS (SELECT doc_id, ('0x' || x)::INT AS byte, count(*) AS n FROM e GROUP BY ALL) SELECT doc_id, byte, n, (sum(n) OVER w - n)::BIGINT AS first, (sum(n) OVER w)::BIGINT AS last FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY byte)",
+    "index_size": f"WITH {_ITEMS} SELECT doc_id, n::BIGINT AS entries, (13 * n)::BIGINT AS nbytes, 104.0::DOUBLE AS bits_per_entry FROM t WHERE n > 0",
+    "document_index": "SELECT doc_id, strlen(text)::BIGINT AS n, (strlen(text)::BIGINT * (strlen(text) - 1) // 2)::BIGINT AS pos_sum FROM documents WHERE strlen(text) > 0",
+    "doubled": "SELECT p_partkey AS doc_id, hex(encode(p_name || p_name)) AS text FROM part",
+    "reversed": f"WITH {_NAMES_T} SELECT doc_id, coalesce((SELECT string_agg(substr(h, 2 * k + 1, 2), '' ORDER BY k DESC) FROM unnest(range(n)) AS r(k)), '') AS text FROM t",
+    "two_texts": "SELECT item_id AS doc_id, 0 AS side, hex(encode(text)) AS text FROM benchmark UNION ALL SELECT p_partkey, 1, hex(encode(p_name)) FROM part",
+    "find": f"{_OCC} SELECT doc_id, (sum(strlen(w)) OVER (PARTITION BY doc_id ORDER BY k) + (k - 1) * {len(WORD)})::INT AS pos FROM q",
+    "find_sorted": f"{_S} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS ord, pos FROM sa WHERE starts_with(x, '{_HEXQ}')",
+    "find_indexed": f"{_S} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS ord, pos FROM sa WHERE starts_with(x, '{_HEXQ}')",
+    "find_empty": f"{_S} SELECT doc_id, rank AS ord, pos FROM sa",
+    "find_many": "SELECT doc_id, item_id AS query_id, strlen(string_split(d.text, b.text)[1]) AS pos FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+    "occ": f"SELECT doc_id, len(string_split(text, '{WORD}')) - 1 AS occ FROM documents",
+    "occ_overlapping": "SELECT item_id, len(list_filter(range(length(text)), lambda i: substr(text, i + 1, 3) = 'ene')) AS occ FROM benchmark",
+    "occ_empty": "SELECT doc_id, strlen(text) AS occ FROM documents",
+    "contains": "SELECT doc_id FROM documents WHERE contains(text, 'idiot')",
+    "sa_interval": f"{_S} SELECT doc_id, min(rank) AS lo, max(rank) + 1 AS hi FROM sa WHERE starts_with(x, '{_HEXQ}') GROUP BY doc_id",
+    "bisect": f"{_S} SELECT doc_id, count(*) FILTER (left(x, {len(_HEXQ)}) < '{_HEXQ}') AS lo, count(*) FILTER (left(x, {len(_HEXQ)}) <= '{_HEXQ}') AS hi FROM sa GROUP BY doc_id",
+    "rmq": f"{_I}, q AS (SELECT DISTINCT doc_id, greatest(rank - rank % 7, 0) AS i, least(rank + rank % 7, n - 1) AS j FROM i) SELECT q.doc_id, q.i, q.j, arg_min(v.rank, v.lcp * 100000 + v.rank) AS argmin FROM q JOIN i v ON v.doc_id = q.doc_id AND v.rank BETWEEN q.i AND q.j GROUP BY ALL",
+    "rmq_blocks": f"{_I} SELECT q.doc_id, q.rank AS i, q.n - 1 AS j, arg_min(v.rank, v.lcp * 100000 + v.rank) AS argmin FROM i q JOIN i v ON v.doc_id = q.doc_id AND v.rank >= q.rank GROUP BY q.doc_id, q.rank, q.n",
+    "block_numbers": f"{_S} SELECT doc_id, rank, rank // 8 AS microblock, rank // 16 AS block, rank // 256 AS superblock FROM sa",
+    "sparse_table_size": f"WITH {_ITEMS}, z AS (SELECT doc_id, n, 8 * coalesce(list_sum([n - (1 << k) + 1 FOR k IN range(1, 20) IF (1 << k) <= n]), 0) AS b FROM t WHERE n > 0) SELECT doc_id, n::BIGINT AS entries, b::BIGINT AS nbytes, (8 * b)::BIGINT AS nbits, 8.0 * b::DOUBLE / n AS overhead FROM z",
+    "children": f"{_I}, c AS (SELECT *, CASE WHEN rank > 0 THEN lcp END AS v FROM i), m AS (SELECT *, min(v) OVER (PARTITION BY doc_id) AS cut FROM c), g AS (SELECT *, sum((rank = 0 OR lcp = cut)::INT) OVER (PARTITION BY doc_id ORDER BY rank) AS k FROM m WHERE cut IS NOT NULL) SELECT doc_id, coalesce(min(CASE WHEN rank > 0 AND lcp <> cut THEN lcp END), max(n)) AS lcp, min(rank) AS lb, max(rank) AS rb FROM g GROUP BY doc_id, k",
+    "tree": f"{_T} SELECT doc_id, lcp, lb, rb, is_leaf FROM nd",
+    "tree_parents": f"{_T} SELECT c.doc_id, c.lb, c.rb, c.is_leaf, max(p.lb) AS plb, min(p.rb) AS prb FROM nd c JOIN nd p ON p.doc_id = c.doc_id AND NOT p.is_leaf AND p.lb <= c.lb AND p.rb >= c.rb AND (c.is_leaf OR p.rb - p.lb > c.rb - c.lb) GROUP BY c.doc_id, c.lb, c.rb, c.is_leaf",
+    "postorder": f"{_T} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rb, lb DESC) - 1 AS ord, lcp, lb, rb FROM nd WHERE NOT is_leaf",
+    "preorder": f"{_T} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lb, rb DESC, is_leaf) - 1 AS ord, CASE WHEN is_leaf THEN n ELSE lcp END AS lcp, lb, rb FROM nd",
+    "interval_text": f"{_T} SELECT doc_id, 'CI(lcp=' || lcp || ', lb=' || lb || ', rb=' || rb || ')' AS shown FROM nd WHERE NOT is_leaf",
+    "lrs": f"WITH {_ITEMS}{_OWN}, m AS (SELECT doc_id, max(length(v)) AS m FROM g WHERE c > 1 GROUP BY doc_id) SELECT u.doc_id, u.i AS pos, g.v AS substring FROM g JOIN m ON m.doc_id = g.doc_id AND length(g.v) = m.m AND g.c > 1 JOIN u ON u.doc_id = g.doc_id AND 2 * u.l = m.m AND substr(u.h, 2 * u.i + 1, m.m) = g.v",
+    "supermaximal": f"WITH {_ITEMS}{_OWN}, r AS (SELECT doc_id, v, c FROM g WHERE c > 1) SELECT doc_id, v AS substring, c AS copies FROM r WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.doc_id = r.doc_id AND length(q.v) = length(r.v) + 2 AND (left(q.v, length(r.v)) = r.v OR right(q.v, length(r.v)) = r.v))",
+    "tandem": _TANDEM.format(src=_ITEMS) + ' SELECT doc_id, "left", "right", period, substr(h, 2 * ("right" - 2 * period) + 1, 2 * period) AS unit, ("right" - "left") // period AS copies, ("right" - "left") % period AS remainder FROM r',
+    "tandem_sql": _TANDEM.format(src=_NAMES_T) + ' SELECT doc_id, "left", "right", period, substr(h, 2 * ("right" - 2 * period) + 1, 2 * period) AS unit, ("right" - "left") // period AS copies, ("right" - "left") % period AS remainder FROM r',
+    "tandem_primitive": _TANDEM.format(src=_ITEMS) + ', f AS (SELECT doc_id, "left", "right", min(period) AS period, min(h) AS h FROM r GROUP BY ALL) SELECT doc_id, "left", "right", period, ("right" - "left") // period AS copies, ("right" - "left") % period AS remainder, substr(h, 2 * "left" + 1, 2 * period) AS unit FROM f'.replace("min(h) AS h FROM r GROUP BY ALL", 'min(h) AS h FROM r GROUP BY doc_id, "left", "right"'),
+    "lcs": f"{_PAIRS}{_GRAMS}, m AS (SELECT pair_id, v, max(length(v)) OVER (PARTITION BY pair_id) AS m FROM ga JOIN gb USING (pair_id, v)) SELECT p.pair_id, coalesce(min(v), '') AS result FROM p LEFT JOIN m ON m.pair_id = p.pair_id AND length(v) = m GROUP BY p.pair_id",
+    "mum": f"{_PAIRS}{_GRAMS} SELECT p.pair_id, ga.v AS substring FROM p JOIN ga USING (pair_id) JOIN gb ON gb.pair_id = ga.pair_id AND gb.v = ga.v WHERE ga.c = 1 AND gb.c = 1 AND (ga.i = 0 OR gb.i = 0 OR substr(a, 2 * ga.i - 1, 2) <> substr(b, 2 * gb.i - 1, 2)) AND (2 * ga.i + length(ga.v) = length(a) OR 2 * gb.i + length(gb.v) = length(b) OR substr(a, 2 * ga.i + length(ga.v) + 1, 2) <> substr(b, 2 * gb.i + length(gb.v) + 1, 2))",
+    "palindrome": f"WITH {_ITEMS}, u AS (SELECT doc_id, n, list_reduce(list_prepend('', [substr(h, 2 * k + 1, 2) FOR k IN range(n)]), lambda x, y: y || x) AS r, h FROM t), s AS (SELECT doc_id, h, r, n, i, unnest(range(1, n - i + 1)) AS l FROM (SELECT *, unnest(range(n)) AS i FROM u)), q AS (SELECT doc_id, l, substr(h, 2 * i + 1, 2 * l) AS v FROM s WHERE substr(h, 2 * i + 1, 2 * l) = substr(r, 2 * (n - i - l) + 1, 2 * l)) SELECT doc_id, min(v) AS result FROM (SELECT *, max(l) OVER (PARTITION BY doc_id) AS m FROM q) WHERE l = m GROUP BY doc_id",
+    "lcs_with_reverse": f"WITH {_NAMES_T}, u AS (SELECT doc_id, n, h, list_reduce(list_prepend('', [substr(h, 2 * k + 1, 2) FOR k IN range(n)]), lambda x, y: y || x) AS r FROM t), s AS (SELECT doc_id, r, i, l, substr(h, 2 * i + 1, 2 * l) AS v, n FROM (SELECT *, unnest(range(1, n - i + 1)) AS l FROM (SELECT *, unnest(range(n)) AS i FROM u))), q AS (SELECT doc_id, l, v FROM s WHERE len(list_filter(range(n - l + 1), lambda k: substr(r, 2 * k + 1, 2 * l) = v)) > 0) SELECT doc_id, min(v) AS result FROM (SELECT *, max(l) OVER (PARTITION BY doc_id) AS m FROM q) WHERE l = m GROUP BY doc_id",
+    "rotation": f"WITH {_ITEMS} SELECT doc_id, min(substr(h || h, 2 * k + 1, 2 * n)) AS result FROM (SELECT doc_id, h, n, unnest(range(n)) AS k FROM t) GROUP BY doc_id",
+    "rotation_sql": f"WITH {_NAMES_T} SELECT doc_id, min(substr(h || h, 2 * k + 1, 2 * n)) AS result FROM (SELECT doc_id, h, n, unnest(range(n)) AS k FROM t) GROUP BY doc_id",
+    "lz_factors": f"""WITH RECURSIVE {_ITEMS}, c AS (SELECT doc_id, h, n, array_to_string([chr(('0x' || substr(h, 2 * k + 1, 2))::INT + 256) FOR k IN range(n)], '') AS x FROM t),
+f AS (SELECT doc_id, h, n, x, 0 AS cur, -1 AS ord, 0 AS pos, 0 AS len FROM c
+  UNION ALL
+  SELECT doc_id, h, n, x, cur + greatest(l, 1), ord + 1, CASE WHEN l = 0 THEN cur ELSE instr(left(x, cur + l - 1), substr(x, cur + 1, l)) - 1 END, greatest(l, 1)
+  FROM (SELECT *, coalesce(list_max(list_filter(range(1, n - cur + 1), lambda l: contains(left(x, cur + l - 1), substr(x, cur + 1, l)))), 0) AS l FROM f WHERE cur < n))
+SELECT doc_id, ord, pos, len, substr(h, 2 * (cur - len) + 1, 2 * len) AS factor FROM f WHERE ord >= 0""",
+    "integrity": "SELECT NULL::BIGINT AS doc_id, NULL::INT AS rank, NULL::VARCHAR AS \"check\" WHERE false",
+    "integrity_broken": f"{_I}, b2 AS (SELECT doc_id, n, rank, pos, lcp, lag(pos) OVER (PARTITION BY doc_id ORDER BY rank) AS q, h FROM i), w AS (SELECT *, lcp + 1 AS l FROM b2 WHERE rank = 3) SELECT doc_id, rank, 'lcp bounds' AS \"check\" FROM w WHERE l > n - pos OR l > n - q UNION ALL SELECT doc_id, rank, 'lcp prefix' FROM w WHERE substr(h, 2 * pos + 1, 2 * l) <> substr(h, 2 * q + 1, 2 * l) UNION ALL SELECT doc_id, rank, 'lcp next byte' FROM w WHERE NOT substr(h, 2 * (q + l) + 1, 2) < substr(h, 2 * (pos + l) + 1, 2)",
+    "integer_helpers": """WITH p AS (SELECT p_partkey, p_partkey * 37 + p_size AS n, p_size FROM part) SELECT p_partkey, length(bin(n)) - 1 AS log2i, bit_count((n & -n) - 1) AS lsb, -(1::BIGINT << (n % 20)::INT) AS high_bits, bit_count(n) AS popcount,
+  bit_count(n) % 2 AS parity, bit_count((n & -n) - 1) AS ctz32, bit_count((n & -n) - 1) AS ctz64, 32 - length(bin(n)) AS clz32, 64 - length(bin(n)) AS clz64, bit_count((n & -n) - 1) + 1 AS ffs, least(n, p_partkey) AS min2, greatest(n % 100, p_size) AS max2,
+  CASE WHEN 25 < p_size THEN 2 ELSE 1 END AS argmin2, CASE WHEN n % 30 < least(p_size, 25) THEN 3 WHEN 25 < p_size THEN 2 ELSE 1 END AS argmin3, (factorial(2 * (p_size % 16)::INT) / (factorial((p_size % 16)::INT) * factorial((p_size % 16)::INT + 1)))::BIGINT AS catalan FROM p""",
+    "catalan_triangle": "SELECT p::INT AS p, q::INT AS q, CASE WHEN p > q THEN 0 ELSE round(exp(lgamma(q + p + 1) - lgamma(p + 1) - lgamma(q + 1)) * (q - p + 1) / (q + 1))::BIGINT END AS value FROM range(20) a(q), range(20) b(p)",
+}
