@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs whose frames are gone, before the next large step writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as bytes and the n+1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

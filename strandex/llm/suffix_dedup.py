@@ -7,13 +7,15 @@ A byte is removed if a WIDTH-byte string covers it that also starts earlier in t
    consecutive strings with one trigger; neighbours overlap by WIDTH - 1 bytes, and each string lies in one phrase.
 2. Dictionary.  Phrases are dealt by trigger.  Of equal phrases all but the first in the corpus are repeats as a whole.
    A trigger with one phrase only is done; those with more are open, as their phrases may share some strings.
-3. Suffixes.  The text of the open phrases is fetched by a join.  Each map task ranks the suffixes of its part of the
-   dictionary to a depth of WIDTH bytes by prefix doubling and breaks ties by the parse's order, so that the first of
-   each class of equal strings is known; the firsts of all tasks are merged by a 128-bit digest of the string.
+3. Suffixes.  The text of the open phrases is fetched by a join and dealt by trigger.  The suffixes of such a part of
+   the dictionary are ranked to a depth of WIDTH bytes by prefix doubling, and ties broken by the parse's order, so that
+   the first of each class of equal strings is known.  Where a trigger has more than CROWD open phrases, map tasks do
+   the ranking for their own phrases, and the firsts of all tasks are merged by a 128-bit digest of the string.
 4. Runs of repeats go back to their documents by a second join, and the bytes are taken out.
 
 Map tasks hand on one row for each phrase (or string) and chunk of text, however often it occurs there, so a passage in a
-third of all documents arrives as one row a chunk; the merging kernels stream over sorted rows and hold one row each.
+third of all documents arrives as one row a chunk; the merging kernels stream over sorted rows and hold one row, or the
+phrases of one trigger (CROWD at most).
 
 Edge cases: null text is empty; texts under WIDTH bytes keep all bytes; a null doc_id comes first; rows with equal
 doc_id are ordered by a hash of their text, and wholly equal rows count as one place, so that both keep their bytes.
@@ -28,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, ranges, read, stored
+from .common import chunks, flat, ranges, read, release, stored
 
 WIDTH, GRAM = 100, 32
+CROWD = 1000
 _BASES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
 _INVERSES = [np.uint64(pow(int(x), -1, 1 << 64)) for x in _BASES]
 _BYTE = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -120,8 +123,11 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(data, [n for n, _ in kinds])
 
 
+_DICTIONARY = 4 << 20  # bytes of phrases ranked at once
+_PHRASE = -2
 #: A phrase or string: two hashes, its place, and the numbers of strings before the trigger and after it. A repeat: pre = -1 and its end in `post`.
 _PLACED = "k long, ph long, d long, th long, a int, pre int, post int"
+_NAMES = ["k", "ph", "d", "th", "a", "pre", "post"]
 
 
 def _parsed(batches):
@@ -143,6 +149,10 @@ def _parsed(batches):
             yield _batch(_PLACED, *(np.concatenate(z) for z in ((k[x], deal), (ph[x], deal), (dd[x], d[i:j][r]), (tt[x], th[i:j][r]), ((a - at)[x], s), ((a - lo)[x], np.full(len(r), -1)), ((hi - lo)[x], e))))
 
 
+def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return flat(column.cast(pa.large_binary()).view(pa.large_string()))
+
+
 def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy() for c in b.columns]
 
@@ -197,53 +207,88 @@ def _suffix_ranks(text: np.ndarray) -> np.ndarray:
     return rank[:n]
 
 
+def _with_text(placed: pa.RecordBatch, text: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*placed.columns, text], [*placed.schema.names, "text"])
+
+
+def _firsts(text: np.ndarray, begin: np.ndarray, d: np.ndarray, th: np.ndarray, p: np.ndarray, m: np.ndarray):
+    """Of all strings of phrases (from begin in text; first place p, m + 1 strings): their starts in text, phrases, places, and how they are ordered."""
+    at, own, place = ranges(begin, m + 1), np.repeat(np.arange(len(p)), m + 1), ranges(p, m + 1)
+    return at, own, place, *_later([_suffix_ranks(text)[at]], d[own], th[own], place)
+
+
 def _strings(batches):
-    """Rows (d, th, text, asked) with the places of open phrases; gives the first place of each string of a chunk, and repeats."""
+    """Rows (d, th, text, asked) with the places of open phrases; gives their texts, or if crowded the first place of each of their strings in the chunk, and repeats."""
     for b in batches:
         raw, offsets = flat(b.column("text"))
         d, th = b.column("d").to_numpy(), b.column("th").to_numpy()
         asked = b.column("asked")
         n_asked = np.diff(np.asarray(asked.offsets))
         items = asked.flatten()
-        lo, post = (np.asarray(items.field(x)).astype(np.int64) for x in ("lo", "post"))
+        k, lo, post, crowded = (np.asarray(items.field(x)).astype(np.int64) for x in ("k", "lo", "post", "crowded"))
         row = np.repeat(np.arange(b.num_rows), n_asked)
-        weight = np.append(0, np.cumsum(post + WIDTH))
-        for i, j in chunks(weight, 1 << 20):
-            r, p, m = row[i:j], lo[i:j], post[i:j]
+        alone = np.flatnonzero(crowded == 0)
+        for s in range(0, len(alone), 20_000):
+            i = alone[s : s + 20_000]
+            size = post[i] + WIDTH
+            text = raw[ranges(offsets[row[i]] + lo[i], size)]
+            ends = pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32).tobytes())
+            zero = np.zeros(len(i), np.int64)
+            yield _with_text(_batch(_PLACED, k[i], zero, d[row[i]], th[row[i]], lo[i], zero + _PHRASE, post[i]), pa.BinaryArray.from_buffers(pa.binary(), len(i), [None, ends, pa.py_buffer(text.tobytes())]))
+        many = np.flatnonzero(crowded)
+        weight = np.append(0, np.cumsum(post[many] + WIDTH))
+        for i, j in chunks(weight, _DICTIONARY // 4):
+            r, p, m = row[many[i:j]], lo[many[i:j]], post[many[i:j]]
             text = raw[ranges(offsets[r] + p, m + WIDTH)]
-            begin = weight[i:j] - weight[i]
-            rank = _suffix_ranks(text)
-            at = ranges(begin, m + 1)
-            rr, pp = np.repeat(r, m + 1), ranges(p, m + 1)
-            order, new, later = _later([rank[at]], d[rr], th[rr], pp)
+            at, own, place, order, new, later = _firsts(text, weight[i:j] - weight[i], d[r], th[r], p, m)
             x, y = order[new], order[later]
-            k, ph = (_Digest(text, t)(at[x], at[x] + WIDTH) for t in (0, 1))
-            q, s, e = _runs(rr[y], pp[y], pp[y] + WIDTH)
-            deal = _mix(d[q].view(np.uint64))
-            yield _batch(_PLACED, *(np.concatenate(z) for z in ((k, deal), (ph, deal), (d[rr[x]], d[q]), (th[rr[x]], th[q]), (pp[x], s), (np.zeros(len(x), int), np.full(len(q), -1)), (np.zeros(len(x), int), e))))
+            h = [_Digest(text, t)(at[x], at[x] + WIDTH) for t in (0, 1)]
+            q, s, e = _runs(r[own[y]], place[y], place[y] + WIDTH)
+            deal, zero = _mix(d[q].view(np.uint64)), np.zeros(len(x), np.int64)
+            rows = _batch(_PLACED, *(np.concatenate(z) for z in ((h[0], deal), (h[1], deal), (d[r[own[x]]], d[q]), (th[r[own[x]]], th[q]), (place[x], s), (zero, np.full(len(q), -1)), (zero, e))))
+            yield _with_text(rows, pa.nulls(rows.num_rows, pa.binary()))
 
 
 def _merged(batches):
-    """Streams strings sorted by digest and place; gives repeats (d, th, s, e)."""
-    carried = None
+    """Streams phrases and strings sorted by trigger or digest, and place; gives repeats (d, th, s, e)."""
+    carried, held = None, []
+
+    def ranked(rows):
+        """Repeats among the strings of whole dictionaries of triggers."""
+        text, offsets = flat_binary(rows.column("text"))
+        d, th, p, m = (rows.column(x).to_numpy().astype(np.int64) for x in ("d", "th", "a", "post"))
+        _, own, place, order, _, later = _firsts(text, offsets[:-1], d, th, p, m)
+        y = order[later]
+        q, s, e = _runs(own[y], place[y], place[y] + WIDTH)
+        return _batch(_REPEAT, d[q], th[q], s, e)
+
     for b in batches:
-        c = _columns(b)
-        rep = c[5] < 0
-        z = [x[rep] for x in c]
-        yield _batch(_REPEAT, z[2], z[3], z[4], z[6])
-        c = [x[~rep] for x in c]
-        if not len(c[0]):
-            continue
-        if carried is not None:
-            c = [np.concatenate([x, y]) for x, y in zip(carried, c, strict=True)]
-        k, ph, d, th, a = c[:5]
-        new = np.append(True, (k[1:] != k[:-1]) | (ph[1:] != ph[:-1]))
-        first = np.flatnonzero(new)
-        own = first[np.cumsum(new) - 1]
-        twice = ~((d == d[own]) & (th == th[own]) & (a == a[own]))
-        q = np.flatnonzero(twice)
-        yield _batch(_REPEAT, d[q], th[q], a[q], a[q] + WIDTH)
-        carried = [x[first[-1] : first[-1] + 1] for x in c]
+        kind = b.column("pre").to_numpy()
+        done = b.filter(pa.array(kind == -1))
+        yield _batch(_REPEAT, *(done.column(x).to_numpy() for x in ("d", "th", "a", "post")))
+        c = [x[kind >= 0] for x in _columns(b.select(_NAMES))]
+        if len(c[0]):
+            if carried is not None:
+                c = [np.concatenate([x, y]) for x, y in zip(carried, c, strict=True)]
+            k, ph, d, th, a = c[:5]
+            new = np.append(True, (k[1:] != k[:-1]) | (ph[1:] != ph[:-1]))
+            first = np.flatnonzero(new)
+            own = first[np.cumsum(new) - 1]
+            q = np.flatnonzero(~((d == d[own]) & (th == th[own]) & (a == a[own])))
+            yield _batch(_REPEAT, d[q], th[q], a[q], a[q] + WIDTH)
+            carried = [x[first[-1] : first[-1] + 1] for x in c]
+        phrases = b.filter(pa.array(kind == _PHRASE))
+        if phrases.num_rows:
+            held.append(phrases)
+            if sum(x.column("text").nbytes for x in held) >= _DICTIONARY:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                k = rows.column("k").to_numpy()
+                whole = int(np.searchsorted(k, k[-1], "left"))
+                if whole:
+                    yield ranked(rows[:whole])
+                held = [rows[whole:]]
+    if held:
+        yield ranked(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -257,11 +302,22 @@ def repeats(named: DataFrame) -> DataFrame:
     rows = named.select("d", "th", "text")
     order = ("k", "ph", "d", "th", "a")
     phrases = rows.mapInArrow(_parsed, _PLACED)
+    spark = named.sparkSession
     known = stored(phrases.repartition("k").sortWithinPartitions(*order).mapInArrow(_dictionary, _PLACED), "phrases")
+    del phrases
+    release(spark)
     done = known.where("pre < 0").select("d", "th", F.col("a").alias("s"), F.col("post").alias("e"))
-    asked = known.where("pre >= 0").groupBy("d", "th").agg(F.collect_list(F.struct((F.col("a") - F.col("pre")).alias("lo"), "post")).alias("asked"))
-    strings = rows.join(asked, ["d", "th"]).select("d", "th", "text", "asked").mapInArrow(_strings, _PLACED)
-    return done.union(strings.repartition("k").sortWithinPartitions(*order).mapInArrow(_merged, _REPEAT))
+    open_ = known.where("pre >= 0")
+    crowds = open_.groupBy("k").count().where(F.col("count") > CROWD).select("k", F.lit(1).alias("crowded"))
+    judged = open_.join(crowds, "k", "left") if not crowds.isEmpty() else open_.withColumn("crowded", F.lit(0))
+    each = F.struct("k", (F.col("a") - F.col("pre")).alias("lo"), "post", F.coalesce("crowded", F.lit(0)).alias("crowded"))
+    asked = judged.groupBy("d", "th").agg(F.collect_list(each).alias("asked"))
+    strings = rows.join(asked, ["d", "th"]).select("d", "th", "text", "asked").mapInArrow(_strings, _PLACED + ", text binary")
+    found = done.union(strings.repartition("k").sortWithinPartitions(*order).mapInArrow(_merged, _REPEAT))
+    found = stored(found, "repeats")
+    del strings, asked
+    release(spark)
+    return found
 
 
 def _cut(raw: np.ndarray, s: np.ndarray, e: np.ndarray):
