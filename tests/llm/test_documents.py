@@ -144,7 +144,7 @@ def test_xxh64():
     assert simhash.xxh64(buf, start, end).tolist() == [xxhash.xxh64_intdigest(buf[a:b].tobytes(), seed=42) for a, b in zip(start, end, strict=True)]
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_links_reach_the_same_components(spark, block, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(1)
@@ -202,7 +202,7 @@ def removed_by_hand(rows, width=100):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("crowd", "chunk"), [(10_000, 2 << 20), (1, 500)])
+@pytest.mark.parametrize(("crowd", "chunk"), [(1000, 2 << 20), (1, 500)])
 def test_suffix_dedup(spark, edges, edge_rows, crowd, chunk, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     real = suffix_dedup.chunks
