@@ -268,11 +268,15 @@ def _links(batches):
 def _wide_links(batches):
     """Links of wide fingerprints (k, node, f0, f1, ...): the full check."""
 
+    def bits(c):  # unsigned: bitwise_count takes the absolute value of signed numbers
+        return [x.view(np.uint64) for x in c[2:]]
+
     def small(c, i, j):
-        return sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in c[2:]) <= WIDE_DISTANCE
+        return sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in bits(c)) <= WIDE_DISTANCE
 
     def large(c):
-        return lambda a, b, p, q: sum(np.bitwise_count(x[a:b, None] ^ x[None, p:q]).astype(np.int16) for x in c[2:]) <= WIDE_DISTANCE
+        f = bits(c)
+        return lambda a, b, p, q: sum(np.bitwise_count(x[a:b, None] ^ x[None, p:q]).astype(np.int16) for x in f) <= WIDE_DISTANCE
 
     yield from _streamed(batches, 2 + WIDE_LANES, small, large)
 

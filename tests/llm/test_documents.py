@@ -168,6 +168,22 @@ def test_links_reach_the_same_components(spark, block, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: least[label[f]] for i, f in zip(ids, fps, strict=True)}
 
 
+@pytest.mark.parametrize("copies", [3, 60])
+def test_wide_links_find_pairs_within_the_distance(spark, copies):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for g in range(30):
+        centre = [int(x) for x in rng.integers(0, 1 << 63, simhash.WIDE_LANES)]
+        for k in range(copies):
+            f = list(centre)
+            for b in rng.choice(256, int(rng.integers(0, 20)) if k else 0, replace=False):
+                f[b // 64] ^= 1 << int(b % 64)
+            want[len(rows)] = g * copies
+            rows.append((len(rows), *(x - (1 << 64) if x >> 63 else x for x in f)))
+    df = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"f{k} long" for k in range(simhash.WIDE_LANES)))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.with_wide_component(df).collect()} == want
+
+
 def test_survivors(clashing, nothing, edges):
     kept = simhash.survivors(clashing)
     assert kept.columns == clashing.columns
