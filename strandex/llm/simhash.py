@@ -321,10 +321,10 @@ def wide_links(distinct: DataFrame) -> DataFrame:
 
 
 def _named(fps: DataFrame, distinct: DataFrame, tree: DataFrame, node: str) -> DataFrame:
-    """fps with component_id; distinct: node, least."""
+    """fps with component_id and the component's root node; distinct: node, least."""
     rooted = distinct.join(tree.withColumnRenamed("node", node), node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(ids, "root").select(node, "component_id"), node)
+    return fps.join(rooted.join(ids, "root").select(node, "component_id", "root"), node)
 
 
 def with_component(fps: DataFrame) -> DataFrame:
@@ -342,15 +342,15 @@ def with_wide_component(fps: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One row of each component of near duplicates: that with the smallest doc_id (of equal ids one text).
+    """One row of each component of near duplicates: that with the smallest doc_id (null first; of equal ids one text).
 
     Rows without a near duplicate stay as they are; docs' columns are kept.
     """
     names = tuple(f"f{k}" for k in range(WIDE_LANES))
     tagged = stored(with_fingerprint(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), names, WIDE_SHINGLE).drop("text"), "fingerprints")
-    chosen = with_wide_component(tagged).groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.h").alias("__h"))
+    chosen = with_wide_component(tagged).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.h").alias("__h"))
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
-    return kept if tagged.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty() else kept.dropDuplicates(["doc_id"])
+    return kept if tagged.groupBy("doc_id", "h").count().where("count > 1").limit(1).isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def query(spark, sf_dir) -> DataFrame:

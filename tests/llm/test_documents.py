@@ -190,6 +190,8 @@ def test_survivors(clashing, nothing, edges):
     ids = [r["doc_id"] for r in kept.collect()]
     assert 1 in ids and 2 not in ids and 4 in ids and 5 not in ids and 6 not in ids and ids.count(10) == 1 and 7 in ids and 12 in ids and not (14 in ids and 15 in ids)
     assert simhash.survivors(nothing).count() == 0
+    apart = simhash.survivors(edges.union(edges.where("doc_id = 7 OR doc_id = 12").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.lit("other "), F.reverse("text")))))
+    assert apart.where("doc_id IS NULL").count() == 3  # rows without id are apart from each other
     tagged = simhash.with_fingerprint(edges.select("doc_id", "text"))
     assert simhash.with_component(tagged).count() == edges.count()
 
