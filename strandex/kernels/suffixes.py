@@ -209,6 +209,23 @@ def supermaximal(text: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def gram_hashes(text: bytes, size: int) -> np.ndarray:
+    """A 64-bit hash of every substring of that size, from prefix sums."""
+    n = len(text)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    up, down = np.full(n, _BASE), np.full(n - size + 1, _INVERSE)
+    up[0] = down[0] = 1
+    total = np.append(np.uint64(0), np.cumsum((np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * np.cumprod(up)))
+    h = (total[size:] - total[:-size]) * np.cumprod(down)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 class SparseMin:
     """Leftmost position of the minimum of any range, from tables of powers of two."""
 

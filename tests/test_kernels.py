@@ -117,3 +117,12 @@ def test_long_and_repetitive_texts():
         sa, lcp = k.suffix_array(t)
         assert all(t[a:] < t[b:] for a, b in zip(sa[:50], sa[1:51], strict=False))
         assert sorted(sa.tolist()) == list(range(len(t))) and int(lcp.max()) < len(t)
+
+
+def test_gram_hashes():
+    t = b"abracadabra abracadabra" * 3 + bytes(range(256))
+    for n in (1, 4, 32):
+        h = k.gram_hashes(t, n).tolist()
+        assert len(h) == len(t) - n + 1 and len(set(h)) == len({t[i : i + n] for i in range(len(h))})
+        assert all((h[i] == h[0]) == (t[i : i + n] == t[:n]) for i in range(len(h)))
+    assert len(k.gram_hashes(b"ab", 3)) == 0

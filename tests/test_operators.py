@@ -101,13 +101,16 @@ def test_repeats(spark):
     assert sorted(rows(repeats.tandem_repeats_sql(t), "doc_id", "left", "right", "period", "unit")) == sorted(rows(repeats.tandem_repeats(t), "doc_id", "left", "right", "period", "unit"))
 
 
-def test_matches(spark):
+def test_matches(spark, monkeypatch):
     cases = [(b"ABABC", b"BABCA", b"BABC"), (b"AAAAA", b"AAAAAAA", b"AAAAA"), (b"Neque porro quisquam est qui dolorem ipsum quia dolor sit amet", b"Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris", b" quis"), (b"", b"a", b"")]
     pairs = spark.createDataFrame([(i, bytearray(a), bytearray(b)) for i, (a, b, _) in enumerate(cases)], "pair_id long, text1 binary, text2 binary")
     assert rows(matching.longest_common_substring(pairs).orderBy("pair_id"), "result") == [(c,) for *_, c in cases]
     docs = one(spark, b"x" * 10 + b"the quick brown fox jumps over the lazy dog" + b"y" * 9, b"nothing to see here at all in this short text")
     items = one(spark, b"__the quick brown fox jumps over the lazy dog").withColumnRenamed("doc_id", "item_id")
-    assert rows(matching.longest_shared_passage(docs, items), "doc_id", "item_id", "size") == [(0, 0, 43)]
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(matching, "MAX_SEEDS", limit)
+        assert rows(matching.longest_shared_passage(docs, items), "doc_id", "item_id", "size") == [(0, 0, 43)]
+        assert rows(matching.longest_shared_passage(docs, items.limit(0)), "size") == []
 
 
 def test_whole_texts(spark):
