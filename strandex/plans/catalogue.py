@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import check, index, intervals, matching, ranges, repeats, search, strings
+from ..operators import check, distributed, index, intervals, matching, ranges, repeats, search, strings
 from ..sources.texts import doubled, reversed_bytes, texts, two_texts
 
 WORD, PASSAGE = "the", 32
@@ -77,6 +77,7 @@ def _integers(spark, d):
 QUERIES = {
     "suffix_array": lambda s, d: index.suffix_array(_index(s, d)),
     "suffix_array_short": lambda s, d: index.suffix_array(index.build_index(_names(s, d), "sql")),
+    "suffix_array_distributed": lambda s, d: distributed.suffix_array_distributed(_items(s, d)),
     "inverse_suffix_array": lambda s, d: index.inverse_suffix_array(_index(s, d)),
     "lcp": lambda s, d: index.lcp_array(_index(s, d)),
     "lcp_short": lambda s, d: index.build_index(_names(s, d), "sql").select("doc_id", "rank", "lcp"),
@@ -175,6 +176,7 @@ g AS (SELECT doc_id, substr(h, 2 * i + 1, 2 * l) AS v, count(*) AS c FROM u GROU
 ORACLE_SQL = {
     "suffix_array": f"{_S} SELECT doc_id, rank, pos FROM sa",
     "suffix_array_short": f"WITH {_NAMES_T}{_SFX} SELECT doc_id, rank, pos FROM sa",
+    "suffix_array_distributed": f"{_S} SELECT doc_id, rank, pos FROM sa",
     "inverse_suffix_array": f"{_S} SELECT doc_id, pos, rank FROM sa",
     "lcp": f"{_I} SELECT doc_id, rank AS i, lcp FROM i UNION ALL SELECT doc_id, n, 0 FROM t WHERE n > 0",
     "lcp_short": f"{_N} SELECT doc_id, rank, lcp FROM i",

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex.functions import registry, scalars
-from strandex.operators import check, index, intervals, matching, ranges, repeats, search, strings
+from strandex.operators import check, distributed, index, intervals, matching, ranges, repeats, search, strings
 from strandex.sources import texts as sources
 
 EDGE = [b"", b"a", b"aaaa", b"banana", b"mississippi", b"a\x00a\x00", b"\xff\xfe\xff", b"x.*x.*", "é€é€".encode(), b"abaababa" * 9]
@@ -45,6 +45,11 @@ def test_both_ways_agree_and_are_sound(table):
     assert {r["check"] for r in check.violations(b.where("doc_id <> 3"), table).collect()} == {"size"}
 
 
+def test_distributed_suffix_array(table):
+    got = distributed.suffix_array_distributed(table)
+    assert sorted(rows(got, "doc_id", "rank", "pos")) == sorted(rows(index.build_index(table, "kernel"), "doc_id", "rank", "pos"))
+
+
 def test_search(spark, table):
     t = one(spark, b"banana", b"aaaa", b"a", b"")
     assert [(r["doc_id"], r["pos"]) for r in search.find_sorted(t, "ana").orderBy("doc_id", "ord").collect()] == [(0, 3), (0, 1)]
