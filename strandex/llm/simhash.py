@@ -97,8 +97,8 @@ def _spread(h: np.ndarray, lane: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, lanes: int = 1) -> np.ndarray:
-    """SimHash of each text as uint64; with more lanes as rows of so many."""
+def shingles(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' shingles, one text after the other, and the number of each text's."""
     n = len(offsets) - 1
     # Every text gets a space after it; runs of white space shrink to one.
     buf = np.full(len(raw) + n, _SPACE)
@@ -119,10 +119,26 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, l
     counts = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
     a = ranges(first, counts)
     b = a + np.repeat(np.minimum(words, shingle) - 1, counts)
+    return xxh64(buf, starts[a], ends[b]) if len(a) else np.zeros(0, np.uint64), counts
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingles, but each shingle of a text once, in the order of the hashes."""
+    h, counts = shingles(raw, offsets, shingle)
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
+    return h[first], np.bincount(row[first], minlength=len(counts))
+
+
+def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, lanes: int = 1) -> np.ndarray:
+    """SimHash of each text as uint64; with more lanes as rows of so many."""
+    n = len(offsets) - 1
+    first_hash, counts = shingles(raw, offsets, shingle)
     out = np.zeros((n, lanes), np.uint64)
-    if not len(a):
+    if not len(first_hash):
         return out[:, 0] if lanes == 1 else out
-    first_hash = xxh64(buf, starts[a], ends[b])
     # Eight counters of eight bits to a word; pieces of at most 255 shingles cannot overflow them.
     pieces = -(-counts // 255)
     begin = ranges(np.zeros(n, np.int64), pieces) * 255 + np.repeat(np.cumsum(counts) - counts, pieces)
@@ -341,14 +357,47 @@ def with_wide_component(fps: DataFrame) -> DataFrame:
     return _named(fps, distinct.select("node", "least"), components(wide_links(distinct)), "node")
 
 
+def similar(overlap, total):
+    """Whether two sets with `total` members counted apart, `overlap` in both, have a Jaccard similarity of 0.8 or more."""
+    return 9 * overlap >= 4 * total
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts are similar by their exact shingle sets; texts: node, text."""
+    needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    chosen = texts.join(needed, "node", "left_semi").dropDuplicates(["node"])
+    both = pairs.join(chosen.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(chosen.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+
+    def run(batches):
+        for b in batches:
+            (x, ox), (y, oy) = flat(b.column(2)), flat(b.column(3))
+            keep = np.zeros(b.num_rows, bool)
+            for i, j in chunks(ox + oy):
+                hx, nx = shingle_sets(x[ox[i] : ox[j]], ox[i : j + 1] - ox[i], WIDE_SHINGLE)
+                hy, ny = shingle_sets(y[oy[i] : oy[j]], oy[i : j + 1] - oy[i], WIDE_SHINGLE)
+                h, row = np.concatenate([hx, hy]), np.concatenate([np.repeat(np.arange(j - i), n) for n in (nx, ny)])
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                common = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=j - i)
+                keep[i:j] = similar(common, nx + ny)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["u", "v"])
+
+    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of each component of near duplicates: that with the smallest doc_id (null first; of equal ids one text).
 
     Rows without a near duplicate stay as they are; docs' columns are kept.
     """
     names = tuple(f"f{k}" for k in range(WIDE_LANES))
-    tagged = stored(with_fingerprint(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), names, WIDE_SHINGLE).drop("text"), "fingerprints")
-    chosen = with_wide_component(tagged).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.h").alias("__h"))
+    # Texts without a word are one node, others one for each text.
+    node = F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x09-\x0D\x20]"), F.xxhash64("text")).otherwise(0)
+    tagged = stored(with_fingerprint(docs.select("doc_id", F.xxhash64("text").alias("h"), node.alias("node"), "text"), names, WIDE_SHINGLE).drop("text"), "fingerprints")
+    texts = docs.select(node.alias("node"), "text")
+    edges = checkpoint(verified(wide_links(tagged.select("node", *names).dropDuplicates(["node"])), texts))
+    rooted = tagged.join(components(edges), "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
+    chosen = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.h").alias("__h"))
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
     return kept if tagged.groupBy("doc_id", "h").count().where("count > 1").limit(1).isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 

@@ -196,6 +196,30 @@ def test_survivors(clashing, nothing, edges):
     assert simhash.with_component(tagged).count() == edges.count()
 
 
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (lowered(a).split(), lowered(b).split()))
+    return len(x & y) / len(x | y)
+
+
+def pairs_of_similarity(lo, hi, n, words=150):
+    """n pairs of texts, apart from each other, with lo <= similarity < hi."""
+    rng, out = np.random.default_rng(int(lo * 1000)), []
+    while len(out) < n:
+        a = [f"w{x}" for x in rng.integers(0, 1 << 40, words)]
+        b = list(a)
+        tail = round(words * (1 - lo) / (1 + lo) * rng.uniform(0.8, 1.2))
+        b[len(b) - tail :] = [f"v{x}" for x in rng.integers(0, 1 << 40, tail)]
+        if lo <= jaccard(" ".join(a), " ".join(b)) < hi:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def test_survivors_keep_what_is_less_similar(spark):
+    pairs = pairs_of_similarity(0.70, 0.80, 60)
+    rows = [(i, t) for i, t in enumerate(t for p in pairs for t in p)]
+    assert simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).selectExpr("id AS u", "id + 1 AS v").union(spark.range(1).selectExpr("500L AS u", "501L AS v"))
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
