@@ -11,10 +11,12 @@ the runs of equal keys and gives, for each run, not its pairs but a star for eac
 rows than the run has).  Runs beyond BLOCK rows are compared block against block, so memory stays bounded.  Components
 come from alternating large-star and small-star rounds over those links.
 
-For corpus cleaning (survivors) a similarity of 0.8 over five-word shingles counts, which 64 bits cannot tell: there the
-fingerprints have WIDE_LANES * 64 bits and link at WIDE_DISTANCE or fewer.  The ring has SEGMENTS segments a lane, and
-rows meet that have one segment equal, which is certain below 20 differing bits (the first budget is then 0) and, at a
-similarity of 0.8, found for 99 of 100 pairs (measured); the full check over all bits follows.
+For corpus cleaning (survivors) texts link from an exact Jaccard similarity of 0.8 over their sets of five-word shingles,
+which 64 bits cannot tell.  First rows meet whose WIDE_LANES * 64-bit fingerprints differ in at most WIDE_DISTANCE bits
+and have one segment equal; each such link is verified on the texts.  That is fast for large groups but misses pairs, so
+a complete search follows among texts not yet in one component: of two sets with a similarity of 0.8 or more, the first
+n - ceil(0.8 n) + 1 members in any one order of all shingles share a member.  The order takes shingles that are frequent
+in a sample of FREQUENT_SAMPLE texts last, which saves work and changes no result.  A shingle is known by 64 hash bits.
 
 Edge cases: null and empty text has fingerprint zero and links like any other; rows with equal doc_id each keep their
 own fingerprint; a null doc_id counts only where a component has no other id.
@@ -35,6 +37,9 @@ BOUNDS = (0, 13, 26, 39, 52, 64)
 BLOCK = 1024
 SHINGLE = 4
 WIDE_LANES, WIDE_SHINGLE, WIDE_DISTANCE = 4, 5, 44
+FREQUENT_SAMPLE, FREQUENT_LEAST, FREQUENT_MOST = 5000, 5, 50_000
+BROADCAST_ROOTS = 1_000_000
+PIECE = 1 << 20
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -329,7 +334,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def wide_links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes of wide fingerprints (node, f0, f1, ...; one row each)."""
+    """Links (u, v) between nodes of wide fingerprints (node, f0, f1, ...; one row each) that have a segment equal."""
     names = [f"f{k}" for k in range(WIDE_LANES)]
     keys = F.array(*[F.lit((lane * SEGMENTS + k) << 16).cast("long").bitwiseOR(_segment(F.col(n), k)) for lane, n in enumerate(names) for k in range(SEGMENTS)])
     keyed = distinct.select(F.explode(keys).alias("k"), "node", *names)
@@ -385,6 +390,92 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def frequent(texts: DataFrame, n: int) -> np.ndarray:
+    """Hashes of shingles frequent in a sample of the n texts, rarest first."""
+
+    def run(batches):
+        for b in batches:
+            raw, offsets = flat(b.column(0))
+            for i, j in chunks(offsets):
+                h, _ = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WIDE_SHINGLE)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["k"])
+
+    sample = texts.where(F.pmod("node", F.lit(max(1, n // FREQUENT_SAMPLE))) == 0).select("text")
+    counted = sample.mapInArrow(run, "k long").groupBy("k").count().where(F.col("count") >= FREQUENT_LEAST).orderBy(F.desc("count"), "k").limit(FREQUENT_MOST)
+    return np.array([r["k"] for r in reversed(counted.collect())], np.int64).view(np.uint64)
+
+
+def with_prefix_keys(texts: DataFrame, last: np.ndarray) -> DataFrame:
+    """k, root, node, size, pos: the shingles of each text's prefix and their places; texts: node, root, text."""
+    by_hash = np.argsort(last)
+    ordered = last[by_hash]
+
+    def run(batches):
+        for b in batches:
+            _, at = np.unique(b.column(0).to_numpy(), return_index=True)
+            b = b.take(pa.array(np.sort(at)))
+            node, root = b.column(0).to_numpy(), b.column(1).to_numpy()
+            raw, offsets = flat(b.column(2))
+            for i, j in chunks(offsets):
+                h, n = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WIDE_SHINGLE)
+                row, late = np.repeat(np.arange(j - i), n), np.zeros(len(h), np.int64)
+                if len(ordered):
+                    found = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+                    late = np.where(ordered[found] == h, by_hash[found] + 1, 0)
+                order = np.lexsort((h, late, row))
+                pos = ranges(np.zeros(j - i, np.int64), n)
+                head = pos < np.repeat(n - (4 * n + 4) // 5 + 1, n)
+                h, row, pos = h[order][head], row[head], pos[head]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(root[i + row]), pa.array(node[i + row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["k", "root", "node", "size", "pos"])
+
+    return texts.select("node", "root", "text").mapInArrow(run, "k long, root long, node long, size int, pos int")
+
+
+def _prefix_pairs(batches):
+    """Pairs (u, v) of different roots in rows (k, root, node, size, pos) sorted by k and root, that can still be similar.
+
+    At the first shingle that two prefixes share, what follows it bounds what the sets share.
+    """
+    held = [np.zeros(0, np.int64)] * 5
+
+    def pairs(c):
+        k, root, node, size, pos = c
+        n = len(k)
+        runs = np.append(np.flatnonzero(np.diff(k)) + 1, n)
+        groups = np.append(np.flatnonzero((np.diff(k) != 0) | (np.diff(root) != 0)) + 1, n)
+        rows = np.arange(n)
+        begin = groups[np.searchsorted(groups, rows, "right")]
+        counts = runs[np.searchsorted(runs, rows, "right")] - begin
+        total = np.cumsum(counts)
+        i = 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PIECE, "right")))
+            a, b = np.repeat(rows[i:j], counts[i:j]), ranges(begin[i:j], counts[i:j])
+            ok = similar(np.minimum(size[a] - pos[a], size[b] - pos[b]), size[a] + size[b])
+            u, v = node[a[ok]], node[b[ok]]
+            if len(u):
+                both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+            i = j
+
+    for b in batches:
+        c = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, b.columns, strict=True)]
+        done = int(np.searchsorted(c[0], c[0][-1], "left")) if len(c[0]) else 0
+        if done:
+            yield from pairs([x[:done] for x in c])
+        held = [x[done:] for x in c]
+    if len(held[0]):
+        yield from pairs(held)
+
+
+def remaining_links(texts: DataFrame, tree: DataFrame, n: int) -> DataFrame:
+    """Links (u, v) of all similar texts (node, text; n nodes) that the components `tree` (node, root) do not join yet."""
+    tree = F.broadcast(tree) if tree.count() <= BROADCAST_ROOTS else tree
+    rooted = texts.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = with_prefix_keys(rooted, frequent(texts, n)).repartition("k").sortWithinPartitions("k", "root", "node")
+    return verified(stored(keyed.mapInArrow(_prefix_pairs, "u long, v long").distinct(), "prefix-pairs"), texts)
+
+
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of each component of near duplicates: that with the smallest doc_id (null first; of equal ids one text).
 
@@ -395,8 +486,12 @@ def survivors(docs: DataFrame) -> DataFrame:
     node = F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x09-\x0D\x20]"), F.xxhash64("text")).otherwise(0)
     tagged = stored(with_fingerprint(docs.select("doc_id", F.xxhash64("text").alias("h"), node.alias("node"), "text"), names, WIDE_SHINGLE).drop("text"), "fingerprints")
     texts = docs.select(node.alias("node"), "text")
-    edges = checkpoint(verified(wide_links(tagged.select("node", *names).dropDuplicates(["node"])), texts))
-    rooted = tagged.join(components(edges), "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
+    distinct = stored(tagged.select("node", *names).dropDuplicates(["node"]), "nodes")
+    near = checkpoint(verified(stored(wide_links(distinct), "wide-links"), texts))
+    tree = components(near)
+    more = checkpoint(remaining_links(texts, tree, distinct.count()))
+    tree = tree if more.isEmpty() else components(near.union(more))
+    rooted = tagged.join(tree, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.h").alias("__h"))
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
     return kept if tagged.groupBy("doc_id", "h").count().where("count > 1").limit(1).isEmpty() else kept.dropDuplicates(["doc_id", "text"])

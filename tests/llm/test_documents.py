@@ -220,6 +220,33 @@ def test_survivors_keep_what_is_less_similar(spark):
     assert simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
 
 
+def test_survivors_miss_no_similar_pair(spark):
+    pairs = pairs_of_similarity(0.80, 0.85, 200) + pairs_of_similarity(0.85, 0.9, 20)
+    rows = [(i, t) for i, t in enumerate(t for p in pairs for t in p)]
+    kept = simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, len(rows), 2))
+
+
+@pytest.mark.parametrize(("piece", "frequent"), [(1 << 20, 5), (7, 2)])
+def test_remaining_links_are_all_similar_pairs(spark, piece, frequent, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(simhash, "FREQUENT_LEAST", frequent)
+    rng, texts = np.random.default_rng(5), []
+    for g in range(12):
+        base = [f"g{g}_{x}" for x in range(40 + 10 * g)]
+        for _ in range(6):
+            w = list(base)
+            for k in rng.choice(len(w), int(rng.integers(0, 5)), replace=False):
+                w[k] = f"x{rng.integers(0, 1 << 40)}"
+            texts.append(" ".join(w))
+    texts += ["", "a", "A b", "a  B", "one two three four five", "one two three four five six"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "node long, text string")
+    tree = spark.createDataFrame([(1, 0), (2, 0)], "node long, root long")
+    got = {(r["u"], r["v"]) for r in simhash.remaining_links(df, tree, len(rows)).collect()}
+    assert got == {(i, j) for i, a in rows for j, b in rows if i < j and a and b and j > 2 and jaccard(a, b) >= 0.8}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).selectExpr("id AS u", "id + 1 AS v").union(spark.range(1).selectExpr("500L AS u", "501L AS v"))
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
