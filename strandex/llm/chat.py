@@ -26,10 +26,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, read
+from .common import checkpoint, read, stored
 
 MAX_DEPTH = 1000
-_CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
+_CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
@@ -80,12 +80,30 @@ def canonical(text: str | None) -> str | None:
         return None
 
 
+def _with_calls(text: pd.Series, content: pd.Series, calls: pd.Series) -> pd.Series:
+    """The canonical message of a turn with calls: its other fields stay, tool_calls is given as serialised."""
+    out = []
+    for t, c, made in zip(text, content, calls, strict=True):
+        if t is None:
+            out.append(None)
+            continue
+        try:
+            fields = json.loads(canonical(t))
+        except TypeError:  # only Spark reads it
+            fields = {"content": c}
+        parts = {k: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for k, v in fields.items() if v is not None}
+        parts |= {"role": '"assistant"', "tool_calls": f"[{made}]"}
+        out.append("{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{parts[k]}" for k in sorted(parts)) + "}")
+    return pd.Series(out, dtype=object)
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """messages(conv_id, turn, role, text) with calls (array) and result_id, result."""
+    """messages(conv_id, turn, role, text) with calls (array), content (beside calls), result_id, result, row (a number for each message) and conv (conv_id, never null)."""
     looks = F.col("text").rlike(r"^\s*\{")
-    calls = F.when((F.col("role") == "assistant") & looks, F.from_json("text", _CALLS)["tool_calls"])
+    made = F.when((F.col("role") == "assistant") & looks, F.from_json("text", _CALLS))
     result = F.when((F.col("role") == "tool") & looks, F.from_json("text", _RESULT))
-    return messages.select("conv_id", "turn", "role", "text", calls.alias("calls"), result["tool_call_id"].alias("result_id"), result["content"].alias("result"))
+    out = messages.select("conv_id", "turn", "role", "text", made["tool_calls"].alias("calls"), made["content"].alias("content"), result["tool_call_id"].alias("result_id"), result["content"].alias("result"))
+    return stored(out.withColumns({"row": F.monotonically_increasing_id(), "conv": F.to_json(F.struct("conv_id"))}), "messages")
 
 
 def link(parsed: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -103,59 +121,60 @@ def link(parsed: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame
                 out.append((c, faults(json.loads(c), schemas.get(n, {"type": "object"}))))
         return pd.DataFrame(out, columns=["arguments", "errors"])
 
-    each = parsed.where(F.size("calls") > 0).select("conv_id", "turn", F.posexplode("calls").alias("place", "c"))
-    each = each.select("conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), judged(F.col("c.name"), F.col("c.arguments")).alias("j"), F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
-    each = each.select("conv_id", "turn", "place", "call_id", "name", "j.arguments", "j.errors", "depends_on")
-    each = checkpoint(each.withColumn("duplicate", F.row_number().over(W.partitionBy("conv_id", "call_id").orderBy("turn", "place", "arguments")) > 1))
-    results = parsed.where(F.col("result_id").isNotNull()).groupBy("conv_id", F.col("result_id").alias("call_id")).agg(F.min("turn").alias("result_turn"), F.count(F.lit(1)).alias("n_results"))
-    each = each.join(results, ["conv_id", "call_id"], "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
-    return each.join(levels(each.where(~F.col("duplicate"))), ["conv_id", "call_id"], "left").drop("depends_on")
+    each = parsed.where(F.size("calls") > 0).select("conv_id", "conv", "row", "turn", F.posexplode("calls").alias("place", "c"))
+    each = each.select("conv_id", "conv", "row", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), judged(F.col("c.name"), F.col("c.arguments")).alias("j"), F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    each = each.select("conv_id", "conv", "row", "turn", "place", "call_id", "name", "j.arguments", "j.errors", "depends_on")
+    each = checkpoint(each.withColumn("duplicate", (F.row_number().over(W.partitionBy("conv", "call_id").orderBy("turn", "place", "arguments")) > 1) & F.col("call_id").isNotNull()))
+    results = parsed.where(F.col("result_id").isNotNull()).groupBy("conv", F.col("result_id").alias("call_id")).agg(F.min("turn").alias("result_turn"), F.count(F.lit(1)).alias("n_results"))
+    each = each.join(results, ["conv", "call_id"], "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
+    return each.join(levels(each.where(~F.col("duplicate"))), ["conv", "call_id"], "left").drop("depends_on")
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: rounds of the topological order; calls in or behind a cycle stay out."""
-    nodes = calls.select("conv_id", "call_id").where(F.col("call_id").isNotNull()).distinct()
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("before")).join(nodes.withColumnRenamed("call_id", "before"), ["conv_id", "before"])
+    """conv, call_id, level: rounds of the topological order; calls in or behind a cycle stay out."""
+    nodes = calls.select("conv", "call_id").where(F.col("call_id").isNotNull()).distinct()
+    edges = calls.select("conv", "call_id", F.explode(F.array_distinct("depends_on")).alias("before")).join(nodes.withColumnRenamed("call_id", "before"), ["conv", "before"])
     edges = checkpoint(edges)
-    waiting = edges.select("conv_id", "call_id").distinct()
-    done = checkpoint(nodes.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
+    waiting = edges.select("conv", "call_id").distinct()
+    done = checkpoint(nodes.join(waiting, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)))
     left, depth = checkpoint(waiting), 0
     while depth < MAX_DEPTH and not left.isEmpty():
         depth += 1
-        open_ = edges.join(left.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi").select("conv_id", "call_id").distinct()
-        ready = checkpoint(left.join(open_, ["conv_id", "call_id"], "left_anti"))
+        open_ = edges.join(left.withColumnRenamed("call_id", "before"), ["conv", "before"], "left_semi").select("conv", "call_id").distinct()
+        ready = checkpoint(left.join(open_, ["conv", "call_id"], "left_anti"))
         if ready.isEmpty():
             break
         done = done.union(ready.withColumn("level", F.lit(depth)))
-        left = checkpoint(left.join(ready, ["conv_id", "call_id"], "left_anti"))
+        left = checkpoint(left.join(ready, ["conv", "call_id"], "left_anti"))
     return done
 
 
 def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """conv_id, position, turn, role, message (canonical JSON), call_ids, linked (of a result: its call is there), n_errors."""
+    """conv_id, position, turn, role, message (canonical JSON), call_ids, linked (of a result: its call is there), n_errors, n_calls."""
     parsed = parse(messages)
     calls = link(parsed, schemas)
     made = F.to_json(F.struct(F.coalesce(F.col("arguments"), F.lit("")).alias("arguments"), F.col("call_id").alias("id"), F.col("level"), F.col("name")))
-    of_turn = calls.groupBy("conv_id", "turn").agg(
+    of_turn = calls.groupBy("row").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", made.alias("json")))), lambda x: x["json"]), ",").alias("tool_calls"),
         F.array_sort(F.collect_list("call_id")).alias("call_ids"), F.sum(F.size("errors")).alias("n_errors"),
     )
-    called = calls.where(~F.col("duplicate")).select("conv_id", F.col("call_id").alias("result_id"), F.col("turn").alias("call_turn"))
-    both = parsed.join(of_turn, ["conv_id", "turn"], "left").join(called, ["conv_id", "result_id"], "left")
+    called = calls.where(~F.col("duplicate")).select("conv", F.col("call_id").alias("result_id"), F.col("turn").alias("call_turn"))
+    both = parsed.join(of_turn, "row", "left").join(called, ["conv", "result_id"], "left")
     # A result that comes before its call goes right behind it.
     both = both.withColumns({"key": F.greatest("turn", "call_turn"), "late": F.coalesce(F.col("call_turn") >= F.col("turn"), F.lit(False)).cast("int")})
     position = F.row_number().over(W.partitionBy("conv_id").orderBy("key", "late", "turn", "role", "text")) - 1
     plain = F.to_json(F.struct(F.when(F.col("result_id").isNotNull(), F.col("result")).otherwise(F.col("text")).alias("content"), "role", F.col("result_id").alias("tool_call_id")))
-    with_calls = F.concat(F.lit('{"role":"assistant","tool_calls":['), F.col("tool_calls"), F.lit("]}"))
+    with_calls = F.pandas_udf(_with_calls, T.StringType())(F.when(F.size("calls") > 0, F.col("text")), "content", "tool_calls")
     return both.select(
         "conv_id", position.cast("long").alias("position"), "turn", "role", F.when(F.size("calls") > 0, with_calls).otherwise(plain).alias("message"),
         F.coalesce("call_ids", F.array().cast("array<string>")).alias("call_ids"), F.when(F.col("result_id").isNotNull(), F.col("call_turn").isNotNull()).alias("linked"), F.coalesce("n_errors", F.lit(0)).cast("long").alias("n_errors"),
+        F.when(F.size("calls") > 0, F.size("calls")).otherwise(0).cast("long").alias("n_calls"),
     )
 
 
 def query(spark, sf_dir) -> DataFrame:
     out = format_messages(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return out.select("conv_id", "position", "turn", "role", "message", F.size("call_ids").cast("long").alias("n_calls"), "n_errors")
+    return out.select("conv_id", "position", "turn", "role", "message", "n_calls", "n_errors")
 
 
 SQL = """

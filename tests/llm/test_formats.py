@@ -62,6 +62,19 @@ def test_chat(spark):
     assert chat.format_messages(df.limit(0)).count() == 0
 
 
+def test_chat_keeps_text_beside_calls_and_null_keys(spark):
+    text = json.dumps({"content": "Let me look", "note": {"b": 1, "a": None}, "tool_calls": [{"id": "c", "name": "t", "arguments": "{}"}, {"name": "t", "arguments": "{}"}, {"name": "t", "arguments": "{}"}]})
+    result = '{"tool_call_id": "c", "content": "x"}'
+    rows = [(1, 0, "assistant", text), (1, None, "assistant", text.replace('"c"', '"d"')), (None, 0, "assistant", text), (None, 1, "tool", result), (2, 0, "assistant", text), (2, 0, "assistant", "plain")]
+    got = chat.format_messages(turns(spark, rows)).collect()
+    made = [r for r in got if r["n_calls"]]
+    assert len(got) == len(rows) and len(made) == 4 and all(r["n_calls"] == 3 for r in made)
+    for r in made:
+        m = json.loads(r["message"])
+        assert m["content"] == "Let me look" and m["note"] == {"b": 1, "a": None} and len(m["tool_calls"]) == 3 and list(m) == sorted(m)
+    assert [r["linked"] for r in got if r["role"] == "tool"] == [True]
+
+
 @pytest.mark.parametrize(("value", "schema", "n"), [(1.0, {"type": "integer"}, 0), (True, {"type": "integer"}, 1), ("abc", {"type": ["string", "null"], "maxLength": 2}, 1), ([1, "a"], {"items": {"type": "number"}}, 1), ({"a": {"b": 1}}, {"properties": {"a": {"required": ["c"]}}}, 1), (3, {"enum": [1, 2]}, 1)])
 def test_schema_faults(value, schema, n):
     assert len(chat.faults(value, schema)) == n
