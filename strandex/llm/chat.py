@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import checkpoint, read, stored
 
-MAX_DEPTH = 1000
+ROUNDS = 30
 _CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
@@ -131,22 +131,49 @@ def link(parsed: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv, call_id, level: rounds of the topological order; calls in or behind a cycle stay out."""
+    """conv, call_id, level: rounds of the topological order; calls in or behind a cycle stay out.
+
+    What is left after ROUNDS rounds are deep chains: they are followed conversation by conversation, each in one task.
+    """
     nodes = calls.select("conv", "call_id").where(F.col("call_id").isNotNull()).distinct()
     edges = calls.select("conv", "call_id", F.explode(F.array_distinct("depends_on")).alias("before")).join(nodes.withColumnRenamed("call_id", "before"), ["conv", "before"])
     edges = checkpoint(edges)
     waiting = edges.select("conv", "call_id").distinct()
     done = checkpoint(nodes.join(waiting, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)))
     left, depth = checkpoint(waiting), 0
-    while depth < MAX_DEPTH and not left.isEmpty():
+    while depth < ROUNDS and not left.isEmpty():
         depth += 1
         open_ = edges.join(left.withColumnRenamed("call_id", "before"), ["conv", "before"], "left_semi").select("conv", "call_id").distinct()
         ready = checkpoint(left.join(open_, ["conv", "call_id"], "left_anti"))
         if ready.isEmpty():
-            break
+            return done
         done = done.union(ready.withColumn("level", F.lit(depth)))
         left = checkpoint(left.join(ready, ["conv", "call_id"], "left_anti"))
-    return done
+    if left.isEmpty():
+        return done
+    first = depth + 1
+
+    def follow(group: pd.DataFrame) -> pd.DataFrame:
+        behind, waits, level = {}, {}, {}
+        for call, before in zip(group["call_id"], group["before"], strict=True):
+            waits.setdefault(call, 0)
+            if before is not None:
+                waits[call] += 1
+                behind.setdefault(before, []).append(call)
+        ready, at = [c for c, n in waits.items() if not n], first
+        while ready:
+            level |= dict.fromkeys(ready, at)
+            following = []
+            for c in (x for r in ready for x in behind.get(r, [])):
+                waits[c] -= 1
+                if not waits[c]:
+                    following.append(c)
+            ready, at = following, at + 1
+        return pd.DataFrame({"conv": group["conv"].iloc[0], "call_id": list(level), "level": list(level.values())})
+
+    inner = edges.join(left, ["conv", "call_id"], "left_semi").join(left.withColumnRenamed("call_id", "before"), ["conv", "before"], "left_semi")
+    rest = inner.select("conv", "call_id", "before").union(left.select("conv", "call_id", F.lit(None).cast("string").alias("before")))
+    return done.union(rest.groupBy("conv").applyInPandas(follow, "conv string, call_id string, level int"))
 
 
 def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:

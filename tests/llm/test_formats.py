@@ -75,6 +75,14 @@ def test_chat_keeps_text_beside_calls_and_null_keys(spark):
     assert [r["linked"] for r in got if r["role"] == "tool"] == [True]
 
 
+def test_chat_levels_deep_chains(spark, monkeypatch):
+    monkeypatch.setattr(chat, "ROUNDS", 2)
+    chain = [{"id": f"k{i}", "name": "t", "arguments": "{}", "depends_on": [f"k{i - 1}", "k0"] if i else []} for i in range(1200)]
+    chain += [{"id": "x", "name": "t", "arguments": "{}", "depends_on": ["y", "k9"]}, {"id": "y", "name": "t", "arguments": "{}", "depends_on": ["x"]}]
+    got = chat.link(chat.parse(turns(spark, [(None, 0, "assistant", json.dumps({"tool_calls": chain}))]))).collect()
+    assert {r["call_id"]: r["level"] for r in got} == {**{f"k{i}": i for i in range(1200)}, "x": None, "y": None}
+
+
 @pytest.mark.parametrize(("value", "schema", "n"), [(1.0, {"type": "integer"}, 0), (True, {"type": "integer"}, 1), ("abc", {"type": ["string", "null"], "maxLength": 2}, 1), ([1, "a"], {"items": {"type": "number"}}, 1), ({"a": {"b": 1}}, {"properties": {"a": {"required": ["c"]}}}, 1), (3, {"enum": [1, 2]}, 1)])
 def test_schema_faults(value, schema, n):
     assert len(chat.faults(value, schema)) == n
