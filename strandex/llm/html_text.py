@@ -32,13 +32,18 @@ _RAW = frozenset("script style noscript template textarea title svg math iframe
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = frozenset("html body main article section div td th table tbody tr aside nav header footer form ul ol dl center blockquote figure details fieldset menu dialog".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address caption figcaption summary br hr thead tfoot legend option".split())
-_CHROME = frozenset("nav footer aside form menu dialog button head".split())
+_CHROME = frozenset("nav footer aside menu dialog button head".split())
+_NEVER = frozenset("html body article main".split())
+_CONTROLS = frozenset("input select textarea button".split())
+CONTROL_TEXT = 200  # letters of running text for each control that make a form more than a form
 _P_ENDS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre address hr".split())
-_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|crumbs?|footer|foot|header|masthead|sidebar\w*|side|widget\w*|comments?|commentlist|"
-    r"replies|respond|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|skip|copyright|legal|disclaimer|tags?|search\w*)(?=$|[\s_-])",
-    re.I,
+_WORD = (
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|crumbs?|footer|foot|masthead|sidebar\w*|side|widget\w*|comments?|commentlist|"
+    r"replies|respond|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|skip|copyright|legal|disclaimer|tags?|search\w*)"
 )
+_PLAIN = r"(?:container|wrapper|wrap|box|bar|list|links?|area|block|inner|outer|section|form|left|right|top|bottom|site|page|global|main|primary|secondary|\d+)"
+# A class, id or role names chrome as a whole: words of chrome, with plain ones or after the article's; not tag-x or has-sidebar.
+_WORDS = re.compile(rf"(?:^|\s)(?!tag[_-])(?:(?:(?:entry|post|article|{_PLAIN})[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_PLAIN}))*|(?:{_PLAIN}[_-]+)*header(?:[_-]+{_PLAIN})*)(?=$|\s)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -48,7 +53,9 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in _RAW}
 def blocks(page: str | None) -> list[tuple[tuple[tuple[int, str], ...], str, int]]:
     """(open containers as (number, step), text, letters in links) of each block of running text, chrome left out."""
     out: list = []
-    stack: list[tuple[str, bool, tuple]] = [("", False, ())]  # tag, in chrome, containers
+    stack: list[tuple[str, bool, tuple, tuple]] = [("", False, (), ())]  # tag, in chrome, containers, doubtful elements
+    doubtful = 0
+    forms: dict[int, int] = {}  # controls of each form
     text: list[str] = []
     linked, in_link, number = 0, 0, 0
 
@@ -57,7 +64,7 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[int, str], ...], str, int
         if text:
             line = _SPACE.sub(" ", html_lib.unescape("".join(text))).strip()
             if line and not stack[-1][1]:
-                out.append((stack[-1][2], line, linked))
+                out.append((stack[-1][2], line, linked, stack[-1][3]))
             text.clear()
         linked = 0
 
@@ -91,6 +98,10 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[int, str], ...], str, int
                     del stack[k:]
                     break
             continue
+        if tag in _CONTROLS and not re.search(r"type\s*=\s*[\"']?hidden", m[3], re.I):
+            for mark in stack[-1][3]:
+                if mark in forms:
+                    forms[mark] += 1
         if tag in _RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end()
@@ -107,19 +118,40 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[int, str], ...], str, int
             if tag == "br":
                 text.append(" ")
             continue
-        _, chrome, path = stack[-1]
+        _, chrome, path, marks = stack[-1]
         names = " ".join(next(x for x in a[1:] if x or x == a[-1]) for a in _ATTRIBUTE.findall(m[3])) if m[3] else ""
+        if tag == "form" or names and tag not in _NEVER and _WORDS.search(names):
+            doubtful += 1
+            marks = (*marks, doubtful)
+            if tag == "form":
+                forms[doubtful] = 0
         if tag in _CONTAINERS:
             inside = any(step.startswith("article") for _, step in path)
-            bad = tag in _CHROME or tag == "header" and not inside or bool(names and tag not in ("html", "body") and _WORDS.search(names))
+            bad = tag in _CHROME or tag == "header" and not inside
             number += 1
             step = tag + "".join(f".{x}" for x in sorted(set(re.sub(r"\d+", "#", names.lower()).split())))
-            stack.append((tag, chrome or bad, (*path, (number, step))))
+            stack.append((tag, chrome or bad, (*path, (number, step)), marks))
         else:
-            bad = tag in _CHROME or bool(names and _WORDS.search(names))
-            stack.append((tag, chrome or bad, path))
+            stack.append((tag, chrome or tag in _CHROME, path, marks))
     flush()
-    return out
+    return _kept(out, forms)
+
+
+def _kept(found: list, forms: dict[int, int]) -> list:
+    """The blocks without those in doubtful elements (by name, or forms), but for elements that hold the page's text.
+
+    Such are forms of running text, and elements with most of it while no article or main stands outside of them.
+    """
+    weight: dict[int, float] = {}
+    total = 0.0
+    for _, line, linked, marks in found:
+        w = max(0.0, len(line) - 2.0 * linked)
+        total += w
+        for mark in marks:
+            weight[mark] = weight.get(mark, 0.0) + w
+    article = any(not marks and any(step.split(".")[0] in ("article", "main") for _, step in path) for path, _, _, marks in found)
+    fine = {k for k, w in weight.items() if w > total / 2 and not article or k in forms and w >= CONTROL_TEXT * (forms[k] + 1)}
+    return [(path, line, linked) for path, line, linked, marks in found if fine.issuperset(marks)]
 
 
 def best(found: list) -> tuple[int, str, float]:

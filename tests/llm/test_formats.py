@@ -23,6 +23,13 @@ def test_extract_by_hand():
         html_text.text_of(html_text.blocks(odd), None)
 
 
+@pytest.mark.parametrize("open_", ["article class='post tag-politics'", "main class='has-sidebar'", "main class=no-sidebar", "div class='post tag-legal category-legal'", "div class=search", "form action=x", "article class=comments"])
+def test_containers_of_the_text_are_no_chrome(open_):
+    tag = open_.split()[0]
+    page = f"<body><nav>Menu</nav><div class='sidebar-widget'>More</div><div class=site-header>Site</div><{open_}><input type=hidden><div class='entry-header'><h1>Title</h1></div><p>{'word ' * 60}</p><div class=post-tags>t</div><form>Your name <input></form></{tag}><div class=main-footer>me</div></body>"
+    assert html_text.text_of(html_text.blocks(page), None) == "Title " + ("word " * 60).strip()
+
+
 def test_consensus(spark):
     pages = [(i, "http://Host.example/x", f"<body><div class='main{i}'><p>{'word ' * 40}{i}</p></div><div class=extra><p>{'e ' * (300 if i == 3 else 5)}</p></div></body>") for i in range(4)]
     pages += [(9, None, None), (10, "http://host.example:80/", ""), (11, "u", "<p>x"), (None, "http://host.example/", "<p>no container")]
