@@ -5,6 +5,9 @@ A byte is removed if a WIDTH-byte string covers it that also starts earlier in t
 1. Parse.  Rolling hashes of GRAM bytes are taken at every position; the leftmost smallest hash of each WIDTH-byte string
    is a trigger, so each such string holds one and equal strings hold it at the same place.  A phrase is the text of all
    consecutive strings with one trigger; neighbours overlap by WIDTH - 1 bytes, and each string lies in one phrase.
+   Grams that are common in a sample of texts come last in the order of hashes: strings across the border of a common
+   passage then have a trigger outside of it, and those inside form the same phrases in each copy.  The sample decides
+   how work is dealt out; any order gives the same repeats.
 2. Dictionary.  Phrases are dealt by trigger.  Of equal phrases all but the first in the corpus are repeats as a whole.
    A trigger with one phrase only is done; those with more are open, as their phrases may share some strings.
 3. Suffixes.  The text of the open phrases is fetched by a join and dealt by trigger.  The suffixes of such a part of
@@ -13,9 +16,11 @@ A byte is removed if a WIDTH-byte string covers it that also starts earlier in t
    the ranking for their own phrases, and the firsts of all tasks are merged by a 128-bit digest of the string.
 4. Runs of repeats go back to their documents by a second join, and the bytes are taken out.
 
-Map tasks hand on one row for each phrase (or string) and chunk of text, however often it occurs there, so a passage in a
-third of all documents arrives as one row a chunk; the merging kernels stream over sorted rows and hold one row, or the
-phrases of one trigger (CROWD at most).
+Map tasks hand on one row for each phrase (or string) and chunk of text, however often it occurs there, and for phrases
+with a common trigger one row a task, so a passage in a third of all documents arrives as one row a task; the merging
+kernels stream over sorted rows and hold one row, or the phrases of one trigger (CROWD at most).  Texts are handled in
+pieces of PIECE bytes, dictionaries in parts of DICTIONARY bytes, which bounds what a task holds besides the texts of an
+Arrow batch.
 
 Edge cases: null text is empty; texts under WIDTH bytes keep all bytes; a null doc_id comes first; rows with equal
 doc_id are ordered by a hash of their text, and wholly equal rows count as one place, so that both keep their bytes.
@@ -34,6 +39,10 @@ from .common import chunks, flat, ranges, read, release, stored
 
 WIDTH, GRAM = 100, 32
 CROWD = 1000
+PIECE = 1 << 20
+DICTIONARY = 1 << 20
+COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 4000, 4, 500_000
+HELD = 100_000  # phrases with common triggers that a map task holds back
 _BASES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
 _INVERSES = [np.uint64(pow(int(x), -1, 1 << 64)) for x in _BASES]
 _BYTE = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -65,19 +74,51 @@ class _Digest:
         return _mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
-def parse(raw: np.ndarray, offsets: np.ndarray):
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """Rolling hash of the GRAM bytes from each place on."""
+    h, step = _BYTE[raw], 1
+    while step < GRAM:
+        h = h[:-step] * np.uint64(pow(int(_BASES[1]), step, 1 << 64)) + h[step:]
+        step *= 2
+    return _mix(h)
+
+
+class Common:
+    """A set of gram hashes; a table of their low bits keeps most others from the search."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.sort(hashes)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[self._low(self.sorted)] = True
+
+    def __reduce__(self):
+        return Common, (self.sorted,)
+
+    @staticmethod
+    def _low(h):
+        return (h & np.uint64((1 << 20) - 1)).astype(np.int32)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Places in h of members."""
+        if not len(self.sorted):
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(self.table[self._low(h)])
+        found = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
+        return at[self.sorted[found] == h[at]]
+
+
+def parse(raw: np.ndarray, offsets: np.ndarray, common: Common | None = None):
     """Phrases of the texts: trigger position, first and last string start (all in raw), trigger hash, phrase hash."""
     empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     at = ranges(offsets[:-1], np.maximum(np.diff(offsets) - WIDTH + 1, 0))
     if not len(at):
         return empty
-    h, step = _BYTE[raw], 1
-    while step < GRAM:
-        h = h[:-step] * np.uint64(pow(int(_BASES[1]), step, 1 << 64)) + h[step:]
-        step *= 2
-    h = _mix(h)
+    h = _grams(raw)
     bits = np.uint64(max(24, int(len(raw)).bit_length()))
-    low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    low = h >> np.uint64(1)
+    if common is not None:
+        low[common.places(h)] |= np.uint64(1 << 63)
+    low = (low >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     grams, size = WIDTH - GRAM + 1, 1
     while 2 * size <= grams:
         low = np.minimum(low[:-size], low[size:])
@@ -85,10 +126,23 @@ def parse(raw: np.ndarray, offsets: np.ndarray):
     if size < grams:
         low = np.minimum(low[: len(low) - (grams - size)], low[grams - size :])
     own = (low[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    new = np.append(True, own[1:] != own[:-1])
-    first = np.flatnonzero(new)
+    del low
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     lo, hi, a = at[first], at[np.append(first[1:], len(at)) - 1], own[first]
-    return a, lo, hi, h[a], _Digest(raw, 0)(lo, hi + WIDTH)
+    del at, own
+    k = h[a]
+    del h
+    return a, lo, hi, k, _Digest(raw, 0)(lo, hi + WIDTH)
+
+
+def _pieces(offsets: np.ndarray, piece: int = PIECE):
+    """Rows [i, j) and their bytes [begin, end) in pieces of about `piece` bytes; of a longer row parts that overlap by a string less one byte."""
+    for i, j in chunks(offsets, piece):
+        if offsets[j] - offsets[i] <= piece + WIDTH:
+            yield i, j, offsets[i], offsets[j]
+        else:
+            for begin in range(offsets[i], offsets[j] - WIDTH + 1, piece):
+                yield i, j, begin, min(begin + piece + WIDTH - 1, offsets[j])
 
 
 def _runs(row: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -123,30 +177,72 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(data, [n for n, _ in kinds])
 
 
-_DICTIONARY = 4 << 20  # bytes of phrases ranked at once
 _PHRASE = -2
 #: A phrase or string: two hashes, its place, and the numbers of strings before the trigger and after it. A repeat: pre = -1 and its end in `post`.
 _PLACED = "k long, ph long, d long, th long, a int, pre int, post int"
 _NAMES = ["k", "ph", "d", "th", "a", "pre", "post"]
 
 
-def _parsed(batches):
-    for b in batches:
-        raw, offsets = flat(b.column("text"))
-        d, th = b.column("d").to_numpy(), b.column("th").to_numpy()
-        for i, j in chunks(offsets):
-            base = offsets[i]
-            a, lo, hi, k, ph = parse(raw[base : offsets[j]], offsets[i : j + 1] - base)
-            if not len(a):
-                continue
-            row = np.searchsorted(offsets[i : j + 1] - base, a, "right") - 1
-            at = (offsets[i : j + 1] - base)[row]
-            dd, tt = d[i:j][row], th[i:j][row]
-            order, new, later = _later([k, ph], dd, tt, a - at)
-            x, y = order[new], order[later]
-            r, s, e = _runs(row[y], (lo - at)[y], (hi - at)[y] + WIDTH)
-            deal = _mix(d[i:j][r].view(np.uint64))
-            yield _batch(_PLACED, *(np.concatenate(z) for z in ((k[x], deal), (ph[x], deal), (dd[x], d[i:j][r]), (tt[x], th[i:j][r]), ((a - at)[x], s), ((a - lo)[x], np.full(len(r), -1)), ((hi - lo)[x], e))))
+def _parser(common: Common | None, piece: int = PIECE):
+    def run(batches):
+        held = [np.zeros(0, t) for t in (np.uint64, np.uint64, *[np.int64] * 5)]
+        for b in batches:
+            raw, offsets = flat(b.column("text"))
+            d, th = b.column("d").to_numpy(), b.column("th").to_numpy()
+            for i, j, begin, end in _pieces(offsets, piece):
+                starts = np.append(np.maximum(offsets[i:j], begin), end) - begin
+                a, lo, hi, k, ph = parse(raw[begin:end], starts, common)
+                if not len(a):
+                    continue
+                row = i + np.searchsorted(starts, a, "right") - 1
+                at = offsets[row] - begin
+                order, new, later = _later([k, ph], d[row], th[row], a - at)
+                x, y = order[new], order[later]
+                r, s, e = _runs(row[y], (lo - at)[y], (hi - at)[y] + WIDTH)
+                phrases = [z[x] for z in (k, ph, d[row], th[row], a - at, a - lo, hi - lo)]
+                gone = [d[r], th[r], s, e]
+                if common is not None:
+                    known = np.zeros(len(x), bool)
+                    known[common.places(phrases[0])] = True
+                    held = [np.concatenate([z, c[known]]) for z, c in zip(held, phrases, strict=True)]
+                    phrases = [c[~known] for c in phrases]
+                    order, new, later = _later(held[:2], *held[2:5])
+                    first = held[4] - held[5]
+                    y = order[later]
+                    gone = [np.concatenate(z) for z in zip(gone, (held[2][y], held[3][y], first[y], first[y] + held[6][y] + WIDTH), strict=True)]
+                    held = [z[order[new]] for z in held]
+                deal, zero = _mix(gone[0].view(np.uint64)), np.zeros(len(gone[0]), np.int64)
+                yield _batch(_PLACED, *(np.concatenate(z) for z in zip(phrases, (deal, deal, *gone[:3], zero - 1, gone[3]), strict=True)))
+                if len(held[0]) > HELD:
+                    yield _batch(_PLACED, *held)
+                    held = [z[:0] for z in held]
+        if len(held[0]):
+            yield _batch(_PLACED, *held)
+
+    return run
+
+
+def common_grams(rows: DataFrame) -> Common:
+    """Grams that COMMON_LEAST texts of a sample have; rows: d, th, text."""
+
+    def run(batches):
+        for b in batches:
+            raw, offsets = flat(b.column(0))
+            for i, j, begin, end in _pieces(offsets):
+                starts = np.append(np.maximum(offsets[i:j], begin), end) - begin
+                at = ranges(starts[:-1], np.maximum(np.diff(starts) - GRAM + 1, 0))
+                if not len(at):
+                    continue
+                h = _grams(raw[begin:end])[at]
+                order = np.lexsort((at, h))
+                h, row = h[order], np.searchsorted(starts, at[order], "right")
+                new = np.append(True, h[1:] != h[:-1])
+                texts = np.add.reduceat(new | np.append(True, row[1:] != row[:-1]), np.flatnonzero(new))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(texts.astype(np.int64))], ["k", "n"])
+
+    sample = rows.where(F.pmod(F.xxhash64("d", "th"), F.lit(max(1, rows.count() // COMMON_SAMPLE))) == 0).select("text")
+    counted = sample.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    return Common(counted.orderBy(F.desc("n"), "k").limit(COMMON_MOST).select("k").toArrow().column("k").combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64))
 
 
 def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -192,17 +288,29 @@ def _dictionary(batches):
         carried = [x[first[-1] : first[-1] + 1] for x in c]
 
 
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of the keys in 32 bits."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    step = np.empty(len(keys), np.int32)
+    step[:1] = 0
+    np.not_equal(keys[1:], keys[:-1], out=step[1:], casting="unsafe")
+    out = np.empty(len(keys), np.uint32)
+    out[order] = np.cumsum(step, out=step)
+    return out
+
+
 def _suffix_ranks(text: np.ndarray) -> np.ndarray:
     """Rank of each suffix to a depth of WIDTH bytes; equal prefixes have equal ranks. Beyond the end counts as zero bytes."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(WIDTH + 8, np.uint8)])
-    rank = np.ndarray((n + WIDTH,), ">u8", padded, 0, (1,)).astype(np.uint64)
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+    rank = _ranked(np.ndarray((n + WIDTH,), ">u8", padded, 0, (1,)).astype(np.uint64))
     depth = 8
     while depth < WIDTH:
         step = min(depth, WIDTH - depth)
-        shifted = np.concatenate([rank[step:], np.zeros(step, np.uint64)])
-        rank = np.unique(rank << np.uint64(32) | shifted, return_inverse=True)[1].astype(np.uint64)
+        both = rank.astype(np.uint64) << np.uint64(32)
+        both[:-step] |= rank[step:]
+        rank = _ranked(both)
         depth += step
     return rank[:n]
 
@@ -237,7 +345,7 @@ def _strings(batches):
             yield _with_text(_batch(_PLACED, k[i], zero, d[row[i]], th[row[i]], lo[i], zero + _PHRASE, post[i]), pa.BinaryArray.from_buffers(pa.binary(), len(i), [None, ends, pa.py_buffer(text.tobytes())]))
         many = np.flatnonzero(crowded)
         weight = np.append(0, np.cumsum(post[many] + WIDTH))
-        for i, j in chunks(weight, _DICTIONARY // 4):
+        for i, j in chunks(weight, DICTIONARY // 2):
             r, p, m = row[many[i:j]], lo[many[i:j]], post[many[i:j]]
             text = raw[ranges(offsets[r] + p, m + WIDTH)]
             at, own, place, order, new, later = _firsts(text, weight[i:j] - weight[i], d[r], th[r], p, m)
@@ -280,7 +388,7 @@ def _merged(batches):
         phrases = b.filter(pa.array(kind == _PHRASE))
         if phrases.num_rows:
             held.append(phrases)
-            if sum(x.column("text").nbytes for x in held) >= _DICTIONARY:
+            if sum(x.column("text").nbytes for x in held) >= DICTIONARY:
                 rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 k = rows.column("k").to_numpy()
                 whole = int(np.searchsorted(k, k[-1], "left"))
@@ -297,11 +405,11 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "th": F.xxhash64("text") if twice else F.lit(0).cast("long")})
 
 
-def repeats(named: DataFrame) -> DataFrame:
+def repeats(named: DataFrame, piece: int = PIECE) -> DataFrame:
     """Ranges (d, th, s, e) of bytes to remove; they may overlap. named: d, th, text."""
     rows = named.select("d", "th", "text")
     order = ("k", "ph", "d", "th", "a")
-    phrases = rows.mapInArrow(_parsed, _PLACED)
+    phrases = rows.mapInArrow(_parser(common_grams(rows), piece), _PLACED)
     spark = named.sparkSession
     known = stored(phrases.repartition("k").sortWithinPartitions(*order).mapInArrow(_dictionary, _PLACED), "phrases")
     del phrases
@@ -337,13 +445,13 @@ def _whole_characters(raw: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return ~lost[owner]
 
 
-def _with_repeats(docs: DataFrame) -> DataFrame:
+def _with_repeats(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     named = _named(docs)
-    found = repeats(named).groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
+    found = repeats(named, piece).groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
     return named.join(found, ["d", "th"], "left")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
 
     def run(batches):
@@ -363,7 +471,7 @@ def report(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(cols[k], pa.int64()) for k in range(3)), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_repeats(docs.select("doc_id", "text")).select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_repeats(docs.select("doc_id", "text"), piece).select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

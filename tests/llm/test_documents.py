@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -271,17 +273,51 @@ def removed_by_hand(rows, width=100):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("crowd", "chunk"), [(1000, 2 << 20), (1, 500)])
-def test_suffix_dedup(spark, edges, edge_rows, crowd, chunk, monkeypatch):
+@pytest.mark.parametrize(("crowd", "piece"), [(1000, 1 << 20), (1, 500)])
+def test_suffix_dedup(spark, edges, edge_rows, crowd, piece, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-    real = suffix_dedup.chunks
-    monkeypatch.setattr(suffix_dedup, "chunks", lambda o, limit=chunk: real(o, min(limit, chunk)))
     passage = prose(50, 30)
     rows = [(r[0], r[1]) for r in edge_rows if r[0] != 9] + [(20 + i, prose(60 + i, 15) + passage[i : 150 + 3 * i] + prose(80 + i, 9) + "é" * i) for i in range(25)]
-    got = suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), piece)
     assert sorted(((-1 << 63) if r["doc_id"] is None else r["doc_id"], *r[1:]) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == removed_by_hand(rows)
 
 
+def test_suffix_dedup_query(spark):
+    docs = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    got = suffix_dedup.query(spark, "/root/testdata/sf0.001").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == removed_by_hand(docs)
+
+
+def test_common_grams_come_last():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 300, dtype=np.uint8)
+    texts = [np.concatenate([rng.integers(97, 123, 200, dtype=np.uint8), passage, rng.integers(97, 123, 200, dtype=np.uint8)]) for _ in range(30)]
+    raw, offsets = np.concatenate(texts), np.arange(31) * 700
+    inside = suffix_dedup._grams(passage)
+    forms_of = []
+    for common in (None, suffix_dedup.Common(inside)):
+        _, _, _, k, ph = suffix_dedup.parse(raw, offsets, common)
+        forms = {}
+        for x, y in zip(k.tolist(), ph.tolist(), strict=True):
+            forms.setdefault(x, set()).add(y)
+        forms_of.append(max(map(len, forms.values())))
+    assert forms_of[0] == 30 and forms_of[1] <= 5  # a gram that holds one letter beside the passage is shared by chance
+
+
+def test_memory_of_the_kernels():
+    rng = np.random.default_rng(6)
+    raw = rng.integers(97, 123, suffix_dedup.PIECE, dtype=np.uint8)
+    size = 168
+    begin = np.arange(0, suffix_dedup.DICTIONARY - size, size)
+    zero = np.zeros(len(begin), np.int64)
+    tracemalloc.start()
+    suffix_dedup.parse(raw, np.array([0, len(raw)]), suffix_dedup.Common(suffix_dedup._grams(raw[:10_000])))
+    assert tracemalloc.get_traced_memory()[1] < 110 << 20
+    tracemalloc.reset_peak()
+    suffix_dedup._firsts(raw, begin, np.arange(len(begin)), zero, zero, zero + size - suffix_dedup.WIDTH)
+    assert tracemalloc.get_traced_memory()[1] < 110 << 20
+
+
 def test_suffix_dedup_of_texts(clashing, edges, nothing):
     out = suffix_dedup.deduplicate(clashing)
     assert out.columns == clashing.columns and out.count() == clashing.count()
