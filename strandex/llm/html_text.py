@@ -6,16 +6,23 @@ of its best container.  Spark adds the votes of a host; the winning path is then
 its text extracted; a page without such a container uses its own best.  Votes are added up in the map task before they
 are shuffled, so a host with a third of all pages is a few rows.
 
-Winners are broadcast while there are at most BROADCAST_HOSTS, otherwise joined by host.
+Winners (a host and a digest of its path) are broadcast while they have at most BROADCAST_BYTES, otherwise joined by host.
+
+Names and forms are only a hint: they leave text out, inline too, unless the element is an article, main or body, holds
+most of the page's text with no article outside, or is a form of running text.  Time is linear in a page's size, however
+deep or broken it is: containers are numbered, and sums go up from child to parent once.
 
 Edge cases: null and empty html give an empty text; a null url or one without host counts as host ''; unclosed and stray
-tags are taken as browsers do, near enough; a page of plain text gives that text; unknown references stay as they are.
+tags are taken as browsers do, near enough; a page of plain text gives that text; unknown references stay as they are;
+of equal containers the first is the page's best; equal rows each come back; other columns of pages are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
+from functools import lru_cache
 from math import log1p
 
 import pyarrow as pa
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import read, stored
 
-BROADCAST_HOSTS = 100_000
+BROADCAST_BYTES = 16 << 20
 SHARE = 0.7  # of the page's running text that the best container must hold
 
 # Fixed lists: elements by their role in HTML.
@@ -36,6 +43,7 @@ _CHROME = frozenset("nav footer aside menu dialog button head".split())
 _NEVER = frozenset("html body article main".split())
 _CONTROLS = frozenset("input select textarea button".split())
 CONTROL_TEXT = 200  # letters of running text for each control that make a form more than a form
+_SIBLINGS = frozenset("li td tr dt dd".split())
 _P_ENDS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre address hr".split())
 _WORD = (
     r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|crumbs?|footer|foot|masthead|sidebar\w*|side|widget\w*|comments?|commentlist|"
@@ -44,142 +52,225 @@ _WORD = (
 _PLAIN = r"(?:container|wrapper|wrap|box|bar|list|links?|area|block|inner|outer|section|form|left|right|top|bottom|site|page|global|main|primary|secondary|\d+)"
 # A class, id or role names chrome as a whole: words of chrome, with plain ones or after the article's; not tag-x or has-sidebar.
 _WORDS = re.compile(rf"(?:^|\s)(?!tag[_-])(?:(?:(?:entry|post|article|{_PLAIN})[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_PLAIN}))*|(?:{_PLAIN}[_-]+)*header(?:[_-]+{_PLAIN})*)(?=$|\s)", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_SPACE = re.compile(r"\s+")
-_RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in _RAW}
+# As browsers read tags: quotes count behind an equals sign only; what is not closed runs to the end. No part can backtrack.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?:[^a-zA-Z>][^>]*+)?+(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s=/]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s]++))""")
+_NAMED = re.compile(r"class|id|role", re.I)
+_HIDDEN = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
+_DIGITS = re.compile(r"\d+")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in _RAW}
+_TO_END = frozenset("script style textarea title iframe".split())  # without an end tag these hold the rest of the page
+
+
+class Page:
+    """What parse() finds. Containers and doubtful elements are numbered as they open, 0 is the page; parents come first.
+
+    blocks: (container, pieces) of each block of running text; a piece is (doubtful element, text, letters in links).
+    """
+
+    def __init__(self):
+        self.parent, self.step, self.article = [0], [""], [False]
+        self.mark_parent, self.form, self.controls = [0], [False], [0]
+        self.blocks: list[tuple[int, list[tuple[int, str, int]]]] = []
+
 
+def _names(attributes: str) -> str:
+    """Values of class, id and role."""
+    if not _NAMED.search(attributes):
+        return ""
+    return " ".join(b or c or d for a, b, c, d in _ATTRIBUTE.findall(attributes) if a.lower() in ("class", "id", "role"))
 
-def blocks(page: str | None) -> list[tuple[tuple[tuple[int, str], ...], str, int]]:
-    """(open containers as (number, step), text, letters in links) of each block of running text, chrome left out."""
-    out: list = []
-    stack: list[tuple[str, bool, tuple, tuple]] = [("", False, (), ())]  # tag, in chrome, containers, doubtful elements
-    doubtful = 0
-    forms: dict[int, int] = {}  # controls of each form
-    text: list[str] = []
-    linked, in_link, number = 0, 0, 0
+
+def parse(page: str | None) -> Page:
+    """Containers and blocks of running text; what is chrome by its tag is left out, what may be by its name is marked."""
+    out = Page()
+    page = page or ""
+    tags, chromes, containers, marks = [""], [False], [0], [0]  # the open elements, outermost first
+    opened: dict[str, list[int]] = {}  # places of the open elements of each tag
+    scopes = [0]  # places of the open containers
+    pieces: list[tuple[int, str, int]] = []
+    endless: set[str] = set()
+    in_link = False
+    at, size, search = 0, len(page), _TOKEN.search
 
     def flush():
-        nonlocal linked
-        if text:
-            line = _SPACE.sub(" ", html_lib.unescape("".join(text))).strip()
-            if line and not stack[-1][1]:
-                out.append((stack[-1][2], line, linked, stack[-1][3]))
-            text.clear()
-        linked = 0
-
-    page, at = page or "", 0
-    size = len(page)
+        nonlocal pieces
+        if pieces:
+            out.blocks.append((containers[-1], pieces))
+            pieces = []
+
+    def close(k):
+        for i in range(len(tags) - 1, k - 1, -1):
+            opened[tags[i]].pop()
+        while scopes[-1] >= k:
+            scopes.pop()
+        del tags[k:], chromes[k:], containers[k:], marks[k:]
+
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = search(page, at)
+        start = m.start() if m else size
+        if start > at and not chromes[-1]:
+            pieces.append((marks[-1], page[at:start], start - at if in_link else 0))
         if m is None:
-            text.append(page[at:])
             break
-        if m.start() > at:
-            piece = page[at : m.start()]
-            text.append(piece)
-            if in_link:
-                linked += len(piece)
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if tag == "a":
-            in_link = 0 if m[1] else 1
+            in_link = not m[1]
         if m[1]:
             if tag in _BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag not in _BLOCKS and any(s[0] in _CONTAINERS for s in stack[k + 1 :]):
-                        break
-                    if tag in _BLOCKS:
-                        flush()
-                    del stack[k:]
-                    break
+            own = opened.get(tag)
+            if own and (tag in _BLOCKS or scopes[-1] <= own[-1]):
+                close(own[-1])
             continue
-        if tag in _CONTROLS and not re.search(r"type\s*=\s*[\"']?hidden", m[3], re.I):
-            for mark in stack[-1][3]:
-                if mark in forms:
-                    forms[mark] += 1
+        if tag in _CONTROLS and not _HIDDEN.search(m[3]):
+            out.controls[marks[-1]] += 1
         if tag in _RAW:
-            end = _RAW_END[tag].search(page, at)
-            at = end.end()
+            end = None if tag in endless else _RAW_END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in _TO_END:
+                break
+            else:
+                endless.add(tag)
             continue
         if tag in _BLOCKS:
             flush()
-            if tag in _P_ENDS and any(s[0] == "p" for s in stack):
-                k = max(i for i, s in enumerate(stack) if s[0] == "p")
-                if not any(s[0] in _CONTAINERS for s in stack[k + 1 :]):
-                    del stack[k:]
-            if tag in ("li", "td", "tr", "dt", "dd") and stack[-1][0] == tag:
-                del stack[-1]
+            if tag in _P_ENDS and opened.get("p") and scopes[-1] <= opened["p"][-1]:
+                close(opened["p"][-1])
+            if tag in _SIBLINGS and tags[-1] == tag:
+                close(len(tags) - 1)
         if tag in _VOID:
             if tag == "br":
-                text.append(" ")
+                pieces.append((0, " ", 0))
             continue
-        _, chrome, path, marks = stack[-1]
-        names = " ".join(next(x for x in a[1:] if x or x == a[-1]) for a in _ATTRIBUTE.findall(m[3])) if m[3] else ""
+        container, mark, chrome = containers[-1], marks[-1], chromes[-1] or tag in _CHROME
+        names = _names(m[3]) if m[3] else ""
         if tag == "form" or names and tag not in _NEVER and _WORDS.search(names):
-            doubtful += 1
-            marks = (*marks, doubtful)
-            if tag == "form":
-                forms[doubtful] = 0
+            out.mark_parent.append(mark)
+            out.form.append(tag == "form")
+            out.controls.append(0)
+            mark = len(out.form) - 1
+        opened.setdefault(tag, []).append(len(tags))
         if tag in _CONTAINERS:
-            inside = any(step.startswith("article") for _, step in path)
-            bad = tag in _CHROME or tag == "header" and not inside
-            number += 1
-            step = tag + "".join(f".{x}" for x in sorted(set(re.sub(r"\d+", "#", names.lower()).split())))
-            stack.append((tag, chrome or bad, (*path, (number, step)), marks))
-        else:
-            stack.append((tag, chrome or tag in _CHROME, path, marks))
+            chrome = chrome or tag == "header" and not out.article[container]
+            scopes.append(len(tags))
+            out.parent.append(container)
+            out.step.append(tag + "".join(f".{x}" for x in sorted(set(_DIGITS.sub("#", names.lower()).split()))))
+            out.article.append(out.article[container] or tag == "article")
+            container = len(out.parent) - 1
+        tags.append(tag)
+        chromes.append(chrome)
+        containers.append(container)
+        marks.append(mark)
     flush()
-    return _kept(out, forms)
+    return out
+
 
+def _up(values: list, parents: list[int]) -> list:
+    """Adds each number to those of all that it lies in."""
+    for k in range(len(parents) - 1, 0, -1):
+        values[parents[k]] += values[k]
+    return values
 
-def _kept(found: list, forms: dict[int, int]) -> list:
-    """The blocks without those in doubtful elements (by name, or forms), but for elements that hold the page's text.
+
+def lines(page: Page) -> list[tuple[int, str, float]]:
+    """(container, text, weight) of the blocks without those in doubtful elements (by name, or forms), but for elements that hold the page's text.
 
     Such are forms of running text, and elements with most of it while no article or main stands outside of them.
     """
-    weight: dict[int, float] = {}
-    total = 0.0
-    for _, line, linked, marks in found:
-        w = max(0.0, len(line) - 2.0 * linked)
-        total += w
-        for mark in marks:
-            weight[mark] = weight.get(mark, 0.0) + w
-    article = any(not marks and any(step.split(".")[0] in ("article", "main") for _, step in path) for path, _, _, marks in found)
-    fine = {k for k, w in weight.items() if w > total / 2 and not article or k in forms and w >= CONTROL_TEXT * (forms[k] + 1)}
-    return [(path, line, linked) for path, line, linked, marks in found if fine.issuperset(marks)]
-
-
-def best(found: list) -> tuple[int, str, float]:
-    """Number, path and score of a page's best container: an article or main with much of the running text, else the deepest container with most of it."""
-    weight: dict[tuple, float] = {}
-    total = 0.0
-    for path, line, linked in found:
-        w = max(0.0, len(line) - 2.0 * linked)
-        total += w
-        for k in range(len(path) + 1):
-            weight[path[:k]] = weight.get(path[:k], 0.0) + w
-    ranked = [(p[-1][1].split(".")[0] in ("article", "main"), len(p), w, p) for p, w in weight.items() if p]
-    named = [x for x in ranked if x[0] and x[2] >= 0.4 * total]
-    deep = [x for x in ranked if x[2] >= SHARE * total]
-    if not (named or deep):
-        return 0, "", 0.0
-    _, _, w, p = max(named or deep, key=lambda x: (x[1], x[2]) if not named else (x[2], x[1]))
-    return p[-1][0], ">".join(s for _, s in p), log1p(w)
-
-
-def text_of(found: list, winner: str | None) -> str:
+    weight, total, article = [0.0] * len(page.form), 0.0, False
+    named = [page.step[0] != ""]
+    for p, s in zip(page.parent[1:], page.step[1:], strict=True):
+        named.append(named[p] or s.split(".", 1)[0] in ("article", "main"))
+    if len(page.form) > 1:
+        for container, pieces in page.blocks:
+            for mark, text, linked in pieces:
+                w = max(0, len(" ".join(text.split())) - 2 * linked)
+                total += w
+                weight[mark] += w
+                article |= not mark and w > 0 and named[container]
+    weight, controls, fine = _up(weight, page.mark_parent), _up(list(page.controls), page.mark_parent), [True]
+    for k in range(1, len(page.form)):
+        holds = weight[k] > total / 2 and not article or page.form[k] and weight[k] >= CONTROL_TEXT * (controls[k] + 1)
+        fine.append(fine[page.mark_parent[k]] and holds)
+    out = []
+    for container, pieces in page.blocks:
+        text = "".join(x for mark, x, _ in pieces if fine[mark])
+        line = " ".join((html_lib.unescape(text) if "&" in text else text).split())
+        if line:
+            out.append((container, line, max(0.0, len(line) - 2.0 * sum(n for mark, _, n in pieces if fine[mark]))))
+    return out
+
+
+def best(page: Page, found: list) -> tuple[int, float]:
+    """Number and score of a page's best container: an article or main with much of the running text, else the deepest container with most of it."""
+    n = len(page.parent)
+    weight, present, depth = [0.0] * n, [0] * n, [0] * n
+    for container, _, w in found:
+        weight[container] += w
+        present[container] = 1
+    weight, present = _up(weight, page.parent), _up(present, page.parent)
+    total = weight[0]
+    named, deep = (0.0, 0, 0), (0, 0.0, 0)
+    for c in range(1, n):
+        depth[c] = depth[page.parent[c]] + 1
+        if not present[c]:
+            continue
+        w = weight[c]
+        if w >= 0.4 * total and page.step[c].split(".", 1)[0] in ("article", "main") and (not named[2] or (w, depth[c]) > named[:2]):
+            named = (w, depth[c], c)
+        if w >= SHARE * total and (not deep[2] or (depth[c], w) > deep[:2]):
+            deep = (depth[c], w, c)
+    return (named[2], log1p(named[0])) if named[2] else (deep[2], log1p(deep[1]))
+
+
+def digests(page: Page) -> list[str]:
+    """A digest of each container's generalised path: its step and its parent's digest."""
+    out = [""]
+    for p, s in zip(page.parent[1:], page.step[1:], strict=True):
+        out.append(_digest(out[p], s))
+    return out
+
+
+@lru_cache(1 << 16)
+def _digest(parent: str, step: str) -> str:
+    return hashlib.blake2b(f"{parent}>{step}".encode(errors="replace"), digest_size=16).hexdigest()
+
+
+def vote_of(html: str | None) -> tuple[str, int]:
+    """Digest of the path that the page votes for ('' if none) and the vote's weight."""
+    page = parse(html)
+    number, score = best(page, lines(page))
+    path = []
+    while number:
+        path.append(page.step[number])
+        number = page.parent[number]
+    digest = ""
+    for step in reversed(path):
+        digest = _digest(digest, step)
+    return digest, round(score * 1000)
+
+
+def text_of(html: str | None, winner: str | None = None) -> str:
     """The blocks in the containers of the winning path, or else in the page's best."""
-    if winner:
-        inside = [line for path, line, _ in found if any(">".join(s for _, s in path[: k + 1]) == winner for k in range(winner.count(">"), winner.count(">") + 1) if k < len(path))]
-        if inside:
-            return " ".join(inside)
-    number, _, _ = best(found)
-    return " ".join(line for path, line, _ in found if not number or any(n == number for n, _ in path))
+    page = parse(html)
+    found = lines(page)
+    for chosen in (winner, None):
+        if chosen:
+            inside = [d == chosen for d in digests(page)]
+        else:
+            number = best(page, found)[0]
+            inside = [k == number for k in range(len(page.parent))]
+        for k in range(1, len(inside)):
+            inside[k] = inside[k] or inside[page.parent[k]]
+        text = [line for c, line, _ in found if inside[c]]
+        if text or not chosen:
+            return " ".join(text)
+    return ""
 
 
 def host(url):
@@ -187,15 +278,15 @@ def host(url):
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """host, path: the path with most votes of each host (ties: the smaller path)."""
+    """host, path: the digest of the path with most votes of each host (ties: the smaller digest)."""
 
-    def vote(batches):
+    def cast(batches):
         votes: dict = {}
         for b in batches:
-            for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                _, path, score = best(blocks(page))
+            for h, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                path, weight = vote_of(html)
                 if path:
-                    votes[h, path] = votes.get((h, path), 0) + round(score * 1000)
+                    votes[h, path] = votes.get((h, path), 0) + weight
             if len(votes) > 20_000:
                 yield rows(votes)
                 votes = {}
@@ -204,20 +295,21 @@ def winners(pages: DataFrame) -> DataFrame:
     def rows(votes):
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "path", "votes"])
 
-    cast = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes long")
-    return cast.groupBy("host", "path").agg(F.sum("votes").alias("votes")).groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path"))["path"].alias("path"))
+    each = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(cast, "host string, path string, votes long")
+    return each.groupBy("host", "path").agg(F.sum("votes").alias("votes")).groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path"))["path"].alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages(page_id, url, html)."""
+    """page_id, url, text, n_chars of each row of pages(page_id, url, html, ...)."""
+    pages = pages.select("page_id", "url", "html")
     chosen = stored(winners(pages), "host-paths")
-    if chosen.count() <= BROADCAST_HOSTS:
-        chosen = F.broadcast(chosen)
-    named = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(chosen, "host", "left")
+    held = chosen.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    chosen = F.broadcast(chosen) if held <= BROADCAST_BYTES else chosen
+    named = pages.withColumn("host", host(F.col("url"))).join(chosen, "host", "left")
 
     def run(batches):
         for b in batches:
-            out = [text_of(blocks(page), path) for page, path in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            out = [text_of(html, path) for html, path in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return named.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")

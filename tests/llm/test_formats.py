@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import json
+import time
+from collections import Counter
 
 import pytest
 
@@ -15,19 +17,86 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_extract_by_hand():
-    found = html_text.blocks(PAGE)
-    assert html_text.text_of(found, None) == "Head & line First bold part é A Second one"
-    assert html_text.best(found)[1] == "html>body>main.content>article.post.post-#"
-    assert html_text.text_of(html_text.blocks("plain  text &amp more &am"), None) == "plain text & more &am"
-    for odd in (None, "", "<", "<p", "<!-- open", "<script>x", "</p></div>", "<a href='>'>x", "<" * 2000, "<div>" * 3000):
-        html_text.text_of(html_text.blocks(odd), None)
+    assert html_text.text_of(PAGE) == "Head & line First bold part é A Second one"
+    page = html_text.parse(PAGE)
+    number, path = html_text.best(page, html_text.lines(page))[0], []
+    while number:
+        path.append(page.step[number])
+        number = page.parent[number]
+    assert path[::-1] == ["html", "body", "main.content", "article.post.post-#"]
+    assert html_text.text_of("plain  text &amp more &am") == "plain text & more &am"
+    for odd in (None, "", "<", "<p", "<!-- open", "<script>x", "</p></div>", "<a href='>'>x", "<" * 2000, "<div>" * 3000, "</>", "</3>", "<a b=>x", "<svg><p>x"):
+        html_text.text_of(odd)
 
 
 @pytest.mark.parametrize("open_", ["article class='post tag-politics'", "main class='has-sidebar'", "main class=no-sidebar", "div class='post tag-legal category-legal'", "div class=search", "form action=x", "article class=comments"])
 def test_containers_of_the_text_are_no_chrome(open_):
     tag = open_.split()[0]
     page = f"<body><nav>Menu</nav><div class='sidebar-widget'>More</div><div class=site-header>Site</div><{open_}><input type=hidden><div class='entry-header'><h1>Title</h1></div><p>{'word ' * 60}</p><div class=post-tags>t</div><form>Your name <input></form></{tag}><div class=main-footer>me</div></body>"
-    assert html_text.text_of(html_text.blocks(page), None) == "Title " + ("word " * 60).strip()
+    assert html_text.text_of(page) == "Title " + ("word " * 60).strip()
+
+
+LONG = ("word " * 60).strip()
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<article class='post-17 post category-x tag-news'><p>{LONG}</article>", LONG),
+        (f"<div class='layout has-sidebar'><p>{LONG}</div>", LONG),
+        (f"<article class='post comment-enabled'><p>{LONG}</article>", LONG),
+        (f"<article><p>In<section id=search-algorithms><p>{LONG}</section><section id=legal-history><p>Law</section></article>", f"In {LONG} Law"),
+        ("<p>Hello <button>Click me</button> world <span class=share>Share</span></p>", "Hello world"),
+        (f"<p>{LONG} <span class='ad'>Buy now</span> end</p>", f"{LONG} end"),
+        ("<p title=don't>Text of it</p><p>more", "Text of it more"),
+        (f"<div><div><p>{LONG}</p></div><ul class=menu><li><a href=x>a</a></ul></div>", LONG),
+        (f"<table><tr><td><a href=x>Menu</a><td><p>{LONG}<p>{LONG}</table>", f"{LONG} {LONG}"),
+        (f"<main><h1>T</h1><p>{LONG}</p><aside>no</aside><div role=navigation class=nav>no</div></main>", f"T {LONG}"),
+        (f"<body><header><h1>Site</h1></header><article><header><h1>T</h1></header><p>{LONG}</article>", f"T {LONG}"),
+        (f"<form><p>{LONG}</p><input type=hidden></form>", LONG),
+        (f"<article><p>{LONG}</p><form><label>Name</label><input><textarea>x</textarea></form></article>", LONG),
+        (f"<article><p>{LONG}<pre>a  b\n c</pre><blockquote>q</blockquote><ul><li>1<li>2</ul></article>", f"{LONG} a b c q 1 2"),
+        (f"<article><p data-class='ad' title=\"class=ad\">{LONG}</article>", LONG),
+        (f"<article><p>{LONG}<style>p{{}}</style><script>'</p>'</script><noscript>n</noscript><svg><text>s</text></svg></article>", LONG),
+        (f"<article><p>{LONG}</article><section class=comments><p>{LONG}</section><footer>f</footer>", LONG),
+        (f"<article><p>a&nbsp;&lt;b&gt; &#8212; {LONG}</article>", f"a <b> — {LONG}"),
+        (f"<div id=content><p>{LONG}</div><div class='newsletter-signup'>Join</div><div class=related>R</div>", LONG),
+        (f"<article><p>{LONG}<br>x<hr>y<figure><img><figcaption>c</figcaption></figure></article>", f"{LONG} x y c"),
+        (f"<ARTICLE><P>{LONG}</P><DIV CLASS='Cookie-Notice'>c</DIV></ARTICLE>", LONG),
+        (f"<article><p>{LONG} <i>a<b>b</i>c</b> <a href='x>y'>l</a></article>", f"{LONG} abc l"),
+    ],
+)
+def test_layouts(html, want):
+    assert html_text.text_of(f"<html><head><title>t</title></head><body>{html}</body></html>") == want
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<a '", "<p><b><i>x</u>", "< ", "<svg>", "<!--", '<a b="', "<div class='x nav-y'>z", "<ul><li>x", "<form>x", "<div><p></i></p>"])
+def test_time_is_linear_in_size_and_depth(part):
+    def seconds(n):
+        page = part * (n // len(part))
+        began = time.process_time()
+        html_text.text_of(page, "no such path")
+        return time.process_time() - began
+
+    assert seconds(400_000) < 8 * seconds(100_000) + 0.5
+
+
+def test_consensus_against_all_votes_counted(spark):
+    shapes = ["<main><p>{a}</p></main><div class=b{i}><p>{b}</p></div>", "<div class=x{i}><div class=y><p>{a}</p></div><p>{b}</p></div>", "<article><p>{a}<p>{b}</article>"]
+    pages = []
+    for i in range(60):
+        a, b = " ".join([f"w{i}"] * (5 + i * 7 % 40)), " ".join([f"v{i}"] * (5 + i * 11 % 40))
+        pages.append((i, f"https://h{i % 4}.example/{i}", "<body>" + shapes[i * i % 3].format(i=i, a=a, b=b)))
+    pages.append(pages[0])
+    votes = {}
+    for _, url, html in pages:
+        path, weight = html_text.vote_of(html)
+        counted = votes.setdefault(url[8:18], Counter())
+        counted[path] += weight
+    top = {h: min(c, key=lambda p: (-c[p], p)) for h, c in votes.items()}
+    want = sorted((i, url, html_text.text_of(html, top[url[8:18]])) for i, url, html in pages)
+    df = spark.createDataFrame([(*p, "clash", "clash") for p in pages], "page_id long, url string, html string, host string, path string")
+    assert sorted((r["page_id"], r["url"], r["text"]) for r in html_text.extract(df).collect()) == want
 
 
 def test_consensus(spark):
