@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel handles at once; a longer document is handled alone.
 CHUNK_BYTES = 2 << 20
@@ -78,3 +80,21 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(counts) - counts
     return np.arange(total) - np.repeat(before, counts) + np.repeat(starts, counts)
+
+
+def numbered(df: DataFrame, by: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with `number`, each row's place from 1 in the order of `by`, and of each sum {name: column} what comes before it.
+
+    Rows are sorted in ranges; only the ranges' totals (a row a partition) meet in one task.
+    """
+    zero = F.lit(0).cast("long")
+    parts = stored(df.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ranges")
+    within = W.partitionBy("part").orderBy(*by)
+    ahead = within.rowsBetween(W.unboundedPreceding, -1)
+    own = parts.withColumns({"number": F.row_number().over(within).cast("long"), **{n: F.coalesce(F.sum(c).over(ahead), zero) for n, c in sums.items()}})
+    totals = parts.groupBy("part").agg(F.count(F.lit(1)).alias("number"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    names = ["number", *sums]
+    totals = totals.select("part", *[F.coalesce(F.sum(n).over(before), zero).alias(f"{n} before") for n in names])
+    both = own.join(F.broadcast(totals), "part")
+    return both.select(*df.columns, *[(F.col(n) + F.col(f"{n} before")).alias(n) for n in names])

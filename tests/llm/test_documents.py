@@ -83,29 +83,80 @@ def targets_by_hand(sizes):
         fixed |= {s: 3 * sizes[s] for s in over}
 
 
+def multiplier_by_hand(sizes, target):
+    mean = sum(sizes) / len(sizes)
+    low, high = -1e5, 1e5
+    for _ in range(100):
+        mid = (low + high) / 2
+        words = math.fsum(s * math.exp(min(math.log(3), mid * (s / mean))) for s in sizes)
+        low, high = (mid, high) if words < target else (low, mid)
+    return (low + high) / 2
+
+
 def test_mixing(spark, edges, edge_rows, nothing):
     rows = edge_rows + [(100 + i, prose(i, 20 + i % 37), "en", "abc"[i % 3 if i % 5 else 0], 1) for i in range(400)]
-    sized = spark.createDataFrame(rows, SCHEMA).withColumn("size", mixing.size_of(F.col("text")))
-    got = mixing.mix(sized).select("doc_id", "source", "size", "source_size", "target", "copies", "taken").collect()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken").collect()
     assert len(got) == len(rows)
-    sizes = Counter()
+    sizes = {}
     for r in rows:
-        sizes[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
-    want = targets_by_hand(dict(sizes))
+        sizes.setdefault(r[3], []).append(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")))
+    want = targets_by_hand({s: sum(x) for s, x in sizes.items()})
     for s in want:
         own = [r for r in got if r["source"] == s]
-        assert all(r["source_size"] == sizes[s] and math.isclose(r["target"], want[s], rel_tol=1e-9, abs_tol=1e-9) for r in own)
-        assert abs(sum(r["taken"] for r in own) - want[s]) <= 2 * max(r["size"] for r in own)
+        assert all(r["source_size"] == sum(sizes[s]) and math.isclose(r["target"], want[s], rel_tol=1e-9, abs_tol=1e-9) for r in own)
+        assert abs(sum(r["taken"] for r in own) - want[s]) <= max(r["size"] for r in own)
         assert all(r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in own)
-    again = mixing.mix(sized.repartition(7)).select("doc_id", "size", "taken").collect()
+        if 0 < want[s] < 3 * sum(sizes[s]):
+            lam, mean = multiplier_by_hand(sizes[s], want[s]), sum(sizes[s]) / len(sizes[s])
+            for r in own:  # a document's copies are its tilted rate, rounded down or up
+                rate = min(3, math.exp(lam * r["size"] / mean))
+                assert math.floor(rate - 1e-6) <= r["copies"] <= math.ceil(rate + 1e-6)
+    again = mixing.mix(docs.repartition(7)).select("doc_id", "size", "taken").collect()
     assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == Counter(map(tuple, again))
-    assert mixing.mix(nothing.withColumn("size", mixing.size_of(F.col("text")))).count() == 0
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_mixing_clashing_columns(clashing, edges):
+    out = mixing.mix(clashing)
+    assert out.columns == [c for c in clashing.columns if c not in mixing.RESULT] + list(mixing.RESULT)
+    same = ["doc_id", "text", "size", "copies", "taken", "target"]
+    assert Counter(map(tuple, out.select(same).collect())) == Counter(map(tuple, mixing.mix(edges).select(same).collect()))
 
 
 def test_newton_meets_the_dual(spark):
-    totals = spark.createDataFrame([("a", 10**9), ("b", 3), ("c", 0), ("d", 5000), (None, 17)], "source string, source_size long")
-    for r in mixing.targets(totals).collect():
-        assert math.isclose(r["rate"] * r["source_size"], r["target"], rel_tol=1e-12)
+    counts = {"a": {3: 50, 10: 7, 400: 1}, "b": {1: 9}, "c": {0: 4}, "d": {5: 1000, 7: 3, 90_000: 2}, None: {17: 1, 2: 5}}
+    sized = spark.createDataFrame([(s, k, n) for s, x in counts.items() for k, n in x.items()], "source string, size long, n long")
+    rows = sized.select(F.explode(F.array_repeat(F.struct(mixing._key(F.col("source")).alias("key"), "size"), F.col("n").cast("int"))).alias("x")).select("x.*")
+    known, _ = mixing.rates(rows)
+    want = targets_by_hand({s: sum(k * n for k, n in x.items()) for s, x in counts.items()})
+    seen = set()
+    for r in known.collect():
+        x = counts[r["key"][1:] if r["key"] else None]
+        assert math.isclose(r["target"], want[r["key"][1:] if r["key"] else None], rel_tol=1e-12)
+        if r["lam"] is not None:
+            words = math.fsum(n * k * min(3, math.exp(r["lam"] * k / r["mean"])) for k, n in x.items())
+            assert math.isclose(words, r["target"], rel_tol=1e-9)
+            seen.add(r["key"])
+        else:
+            assert r["fixed"] == (3.0 if r["source_size"] else 1.0)
+    assert seen
+
+
+def test_gradient_of_the_dual(spark):
+    sizes, lam, target = {2: 5, 30: 3, 100: 2}, 0.4, 700.0
+    mean = sum(k * n for k, n in sizes.items()) / sum(sizes.values())
+
+    def dual(v):
+        psi = lambda z: math.exp(z) - 1 if z <= math.log(3) else 2 + 3 * (z - math.log(3))
+        return sum(n * psi(v * k / mean) for k, n in sizes.items()) - v * target / mean
+
+    state = spark.createDataFrame([("=a", target, mean, lam, None, None, None, False)], "key string, target double, mean double, lam double, lo double, hi double, miss double, done boolean")
+    step = mixing.newton(state, spark.createDataFrame([("=a", k, n) for k, n in sizes.items()], "key string, size long, n long"), True).first()
+    gradient = (dual(lam + 1e-6) - dual(lam - 1e-6)) / 2e-6
+    hessian = sum(n * (k / mean) ** 2 * math.exp(lam * k / mean) for k, n in sizes.items() if lam * k / mean < math.log(3))
+    assert math.isclose(step["miss"] / mean, abs(gradient), rel_tol=1e-6)
+    assert math.isclose(step["lam"], lam - gradient / hessian, rel_tol=1e-5)
 
 
 # --- SimHash
