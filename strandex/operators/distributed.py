@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.lineage import checkpointed
@@ -35,13 +36,9 @@ def _smaller(groups: DataFrame, *order: str) -> DataFrame:
 
     dealt = groups.select(*order, "c").repartitionByRange(*order).sortWithinPartitions(*order)
     counted = checkpointed(dealt.mapInArrow(run, schema))
-    sums = counted.groupBy("part").agg(F.sum("c").alias("s")).orderBy("part").collect()  # a row for each partition
-    before, ahead = [], 0
-    for r in sums:
-        before += [F.lit(r["part"]), F.lit(ahead).cast("long")]
-        ahead += r["s"]
-    below = F.col("local") + F.create_map(*before)[F.col("part")] if before else F.col("local")
-    return counted.select(*order, "c", below.alias("below"))
+    sums = counted.groupBy("part").agg(F.sum("c").alias("s"))  # a row for each partition
+    ahead = sums.select("part", F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return counted.join(F.broadcast(ahead), "part").select(*order, "c", (F.col("local") + F.col("ahead")).alias("below"))
 
 
 def suffix_array_distributed(texts: DataFrame) -> DataFrame:

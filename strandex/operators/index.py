@@ -13,9 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..kernels import suffixes
+from .apply import per_text
 
 SHORT = 64  # texts up to so many bytes are sorted by Spark itself
-INDEX = "doc_id {id}, rank int, pos int, lcp int, bwt binary"
+HEAD = 8  # bytes of a suffix that with_heads() keeps
 
 
 def suffix_rows(texts: DataFrame) -> DataFrame:
@@ -33,23 +34,31 @@ def index_sql(texts: DataFrame) -> DataFrame:
     return ranked.select("doc_id", "rank", "pos", F.when(F.col("before").isNull(), 0).otherwise(lcp).alias("lcp"), "bwt")
 
 
-def index_kernel(texts: DataFrame) -> DataFrame:
-    """Prefix doubling in numpy for each text, in Arrow batches."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
+def index_kernel(texts: DataFrame, columns: tuple[str, ...] = ("rank", "pos", "lcp", "bwt")) -> DataFrame:
+    """Prefix doubling in numpy for each text, in Arrow batches; only the named columns are made."""
+    kinds = {"rank": "int", "pos": "int", "lcp": "int", "bwt": "binary"}
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} {kinds[c]}" for c in columns)
 
     def run(batches):
         for b in batches:
             for key, text in zip(b.column("doc_id"), b.column("text").to_pylist(), strict=True):
                 if not text:
                     continue
-                sa, lcp = suffixes.suffix_array(text)
-                left = suffixes.bwt(text, sa)
+                if "lcp" in columns:
+                    sa, lcp = suffixes.suffix_array(text)
+                else:
+                    sa, lcp = suffixes.suffix_places(text), None
                 n = len(sa)
-                bwt = pa.FixedSizeBinaryArray.from_buffers(pa.binary(1), n, [None, pa.py_buffer(left.tobytes())]).cast(pa.binary())
+                made = {
+                    "rank": lambda n=n: pa.array(np.arange(n, dtype=np.int32)),
+                    "pos": lambda sa=sa: pa.array(sa.astype(np.int32)),
+                    "lcp": lambda lcp=lcp: pa.array(lcp.astype(np.int32)),
+                    "bwt": lambda n=n, text=text, sa=sa: pa.FixedSizeBinaryArray.from_buffers(pa.binary(1), n, [None, pa.py_buffer(suffixes.bwt(text, sa).tobytes())]).cast(pa.binary()),
+                }
                 ids = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([key.as_py()], b.schema.field("doc_id").type)).dictionary_decode()
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(n, dtype=np.int32)), pa.array(sa.astype(np.int32)), pa.array(lcp.astype(np.int32)), bwt], ["doc_id", "rank", "pos", "lcp", "bwt"])
+                yield pa.RecordBatch.from_arrays([ids, *(made[c]() for c in columns)], ["doc_id", *columns])
 
-    return texts.select("doc_id", "text").mapInArrow(run, INDEX.format(id=kind))
+    return texts.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def build_index(texts: DataFrame, method: str = "auto") -> DataFrame:
@@ -91,6 +100,23 @@ def packed(index: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.transform("r", lambda x: x["pos"]).alias("sa"), F.transform("p", lambda x: x["rank"]).alias("isa"), F.concat(F.transform("r", lambda x: x["lcp"]), F.array(F.lit(0))).alias("lcp"))
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """doc_id, text, sa: each text beside its suffix array, for search.bisect_packed; a map without shuffle."""
+    both = texts.select("doc_id", "text", F.col("text").alias("own"))
+    return per_text(both, lambda text, own: [(own, suffixes.suffix_places(text).tolist())], "own binary, sa array<int>", inputs=("text", "own")).withColumnRenamed("own", "text")
+
+
+def with_heads(index: DataFrame, texts: DataFrame, size: int = HEAD) -> DataFrame:
+    """The index with `head`, the first bytes of each suffix: sorted by it, a stored index is read by ranges of it."""
+    return index.join(texts, "doc_id").select(*index.columns, F.expr(f"substring(text, pos + 1, {size})").alias("head"))
+
+
+def materialised(index: DataFrame) -> list[str]:
+    """The columns of the index that are held in memory or on disk: none before it is persisted."""
+    level = index.storageLevel
+    return list(index.columns) if level.useMemory or level.useDisk else []
+
+
 def byte_buckets(texts: DataFrame) -> DataFrame:
     """doc_id, byte, n, first, last: how often each byte occurs and the ranks [first, last) of suffixes that begin with it."""
     each = texts.where(F.octet_length("text") > 0).select("doc_id", F.explode(F.expr("transform(sequence(1, octet_length(text)), i -> CAST(conv(hex(substring(text, i, 1)), 16, 10) AS INT))")).alias("byte"))

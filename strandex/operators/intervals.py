@@ -46,10 +46,10 @@ def _numbered(nodes: DataFrame, *order) -> DataFrame:
 
 
 def postorder(nodes: DataFrame) -> DataFrame:
-    """Inner nodes bottom-up, the root (lcp 0) last: doc_id, ord, lcp, lb, rb and the ids of inner children."""
+    """Inner nodes bottom-up, the root (lcp 0) last: doc_id, ord, lcp, lb, rb and the inner children (lb, rb, node_id) from left to right."""
     inner = nodes.where(~F.col("is_leaf"))
-    below = inner.where(F.col("parent_id").isNotNull()).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("lb", "node_id"))), lambda x: x["node_id"]).alias("children"))
-    both = inner.join(below, ["doc_id", "node_id"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<int>")))
+    below = inner.where(F.col("parent_id").isNotNull()).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("lb", "rb", "node_id"))).alias("children"))
+    both = inner.join(below, ["doc_id", "node_id"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<struct<lb:int,rb:int,node_id:int>>")))
     return _numbered(both, F.asc("rb"), F.desc("lb")).select("doc_id", "ord", "node_id", "lcp", "lb", "rb", "children")
 
 
@@ -60,10 +60,11 @@ def preorder(nodes: DataFrame) -> DataFrame:
     return _numbered(nodes, F.asc("lb"), F.desc("rb"), F.asc("is_leaf")).select("doc_id", "ord", lcp.alias("lcp"), "lb", "rb")
 
 
-def children(index: DataFrame, left: int = 0, right: int | None = None) -> DataFrame:
+def children(index: DataFrame, left: int = 0, right: int | None = None, depth: bool = False) -> DataFrame:
     """Child intervals (doc_id, lcp, lb, rb) of the rank range left..right, in SQL: it falls apart where lcp is smallest.
 
-    A single suffix has the text's length as lcp; a range of one rank has no children.
+    A single suffix has the text's length as lcp; a range of one rank has no children.  With depth also the length that
+    all suffixes of the range share, at which the children part.
     """
     n = F.max("rank").over(W.partitionBy("doc_id")) + 1
     inside = index.select("doc_id", "rank", "lcp", n.alias("n"))
@@ -73,8 +74,8 @@ def children(index: DataFrame, left: int = 0, right: int | None = None) -> DataF
     begins = (F.col("rank") == left) | (F.col("lcp") == F.col("cut"))
     island = F.sum(begins.cast("int")).over(whole.orderBy("rank"))
     marked = inside.withColumn("cut", cut).where("cut IS NOT NULL").withColumns({"island": island, "starts": begins})
-    each = marked.groupBy("doc_id", "island").agg(F.min("rank").alias("lb"), F.max("rank").alias("rb"), F.min(F.when(~F.col("starts"), F.col("lcp"))).alias("inner"), F.max("n").alias("n"))
-    return each.select("doc_id", F.coalesce("inner", "n").cast("int").alias("lcp"), "lb", "rb")
+    each = marked.groupBy("doc_id", "island").agg(F.min("rank").alias("lb"), F.max("rank").alias("rb"), F.min(F.when(~F.col("starts"), F.col("lcp"))).alias("inner"), F.max("n").alias("n"), F.max("cut").alias("depth"))
+    return each.select("doc_id", F.coalesce("inner", "n").cast("int").alias("lcp"), "lb", "rb", *(["depth"] if depth else []))
 
 
 def shown(lcp, lb, rb):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..kernels import suffixes
+from .apply import per_text
+
 BLOCK = 256
 MICRO, MIDDLE, SUPER = 8, 16, 256  # units of the size report
 
@@ -30,6 +34,18 @@ def rmq(values: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
     return checked.select("doc_id", "i", "j", F.when(bad, fault.cast("int")).otherwise(F.col("best.k").cast("int")).alias("argmin"))
 
 
+def rmq_kernel(arrays: DataFrame, queries: DataFrame) -> DataFrame:
+    """As rmq for arrays(doc_id, values ARRAY<INT>), one row an array: all its questions meet it in one map with tables of powers of two."""
+    asked = queries.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("asked"))
+
+    def kernel(values, asked):
+        i, j = (np.array([q[x] for q in asked], np.int64) for x in ("i", "j"))
+        return list(zip(i.tolist(), j.tolist(), suffixes.SparseMin(values).queries(i, j).tolist(), strict=True))
+
+    both = asked.join(arrays, "doc_id", "left").withColumn("values", F.coalesce("values", F.array().cast("array<int>")))
+    return per_text(both, kernel, "i int, j int, argmin int", inputs=("values", "asked"))
+
+
 def block_numbers(position):
     """The micro, middle and super block of a position."""
     return F.struct(*(F.floor(position / size).cast("int").alias(name) for name, size in (("microblock", MICRO), ("block", MIDDLE), ("superblock", SUPER))))

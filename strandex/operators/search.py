@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..kernels import suffixes
 from .apply import per_text
+from .index import HEAD
+from .intervals import children
 
-BROADCAST_QUERIES = 100_000
+BROADCAST_BYTES = 16 << 20
+SEED = 16
 
 
 def _bytes(query: str | bytes) -> bytes:
@@ -53,62 +56,116 @@ def find_sorted(texts: DataFrame, query: str | bytes) -> DataFrame:
 def find_many(texts: DataFrame, queries: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """doc_id, query_id, pos of all occurrences of all queries(query_id, q BINARY or STRING).
 
-    Up to BROADCAST_QUERIES go to every task at once, as one automaton of their hashes by length; more are cut into
-    blocks of that size, each block a map over the texts.
+    While the queries have at most BROADCAST_BYTES they go to every task at once, as a table by length; beyond, texts and
+    queries meet in an equi-join on the hash of the queries' first bytes.
     """
     kind = queries.schema["q"].dataType.simpleString()
     named = queries.select("query_id", (F.col("q") if kind == "binary" else F.encode("q", "UTF-8")).alias("q")).where("q IS NOT NULL")
-    n = named.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
-    out = None
-    for block in range(blocks):
-        own = named.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
-        by_length: dict[int, dict[bytes, list]] = {}
-        for r in own:
-            q = bytes(r["q"])
-            by_length.setdefault(len(q), {}).setdefault(q, []).append(r["query_id"])
-
-        def kernel(text, by_length=by_length):
-            for size, known in by_length.items():
-                if size == 0:
-                    yield from ((i, p) for i in known[b""] for p in range(len(text)))
-                elif len(known) <= 64:
-                    for q, ids in known.items():
-                        for p in suffixes.occurrences(text, q):
-                            yield from ((i, p) for i in ids)
-                else:
-                    for p in range(len(text) - size + 1):
-                        for i in known.get(text[p : p + size], ()):
-                            yield i, p
-
-        part = per_text(texts, lambda t, k=kernel: list(k(t)), f"query_id {queries.schema['query_id'].dataType.simpleString()}, pos int", keys=(doc_id,))
-        out = part if out is None else out.unionByName(part)
-    return out
+    held = named.agg(F.sum(F.octet_length("q") + 32)).first()[0] or 0
+    if held > BROADCAST_BYTES:
+        return find_many_joined(texts, named, doc_id)
+    by_length: dict[int, dict[bytes, list]] = {}
+    for r in named.collect():
+        q = bytes(r["q"])
+        by_length.setdefault(len(q), {}).setdefault(q, []).append(r["query_id"])
+
+    def kernel(text):
+        for size, known in by_length.items():
+            if size == 0:
+                yield from ((i, p) for i in known[b""] for p in range(len(text)))
+            elif len(known) <= 64:
+                for q, ids in known.items():
+                    for p in suffixes.occurrences(text, q):
+                        yield from ((i, p) for i in ids)
+            else:
+                for p in range(len(text) - size + 1):
+                    for i in known.get(text[p : p + size], ()):
+                        yield i, p
+
+    return per_text(texts, lambda t: list(kernel(t)), f"query_id {queries.schema['query_id'].dataType.simpleString()}, pos int", keys=(doc_id,))
+
+
+def find_many_joined(texts: DataFrame, queries: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """find_many of any number of queries(query_id, q BINARY): places meet queries on a hash of the first SEED bytes at most, then all bytes are compared."""
+    sized = queries.withColumn("size", F.least(F.octet_length("q"), F.lit(SEED)))
+    sizes = [r["size"] for r in sized.select("size").distinct().collect()]  # SEED + 1 at most
+    wanted = sized.select("query_id", "q", "size", F.xxhash64(F.expr("substring(q, 1, size)")).alias("h"))
+    there = texts.where(F.octet_length("text") > 0)
+    places = there.select(doc_id, "text", F.explode(F.expr("sequence(0, octet_length(text) - 1)")).alias("pos"))
+    each = places.select(doc_id, "text", "pos", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size"))
+    seeds = each.where("pos + size <= octet_length(text)").select(doc_id, "pos", "size", F.xxhash64(F.expr("substring(text, pos + 1, size)")).alias("h"))
+    met = seeds.join(wanted, ["size", "h"]).join(there.select(doc_id, "text"), doc_id)
+    return met.where(F.expr("substring(text, pos + 1, octet_length(q)) = q")).select(doc_id, "query_id", "pos")
 
 
 def _prefix(text: Column, pos: Column, size: int) -> Column:
     return F.substring(text, pos + 1, F.lit(size))
 
 
-def bisect(index: DataFrame, texts: DataFrame, query: str | bytes) -> DataFrame:
-    """doc_id, lo, hi: the half-open interval of ranks whose suffix starts with the query (lo = hi where none does).
+def bisect(index: DataFrame, texts: DataFrame, query: str | bytes, start: int = 0, stop: int | None = None) -> DataFrame:
+    """doc_id, lo, hi: the half-open interval of ranks in start..stop whose suffix starts with the query (lo = hi where none does).
 
-    lo is the first rank whose first len(query) bytes are not below the query, hi the first whose are above.
+    lo is the first rank whose first len(query) bytes are not below the query, hi the first whose are above; without stop
+    to the last rank.  This counts over the rows of an index; bisect_packed searches the packed one.
     """
     q = F.lit(_bytes(query))
     head = _prefix(F.col("text"), F.col("pos"), len(_bytes(query)))
-    joined = index.select("doc_id", "pos").join(texts, "doc_id")
-    return joined.groupBy("doc_id").agg(F.count_if(head < q).cast("int").alias("lo"), F.count_if(head <= q).cast("int").alias("hi"))
+    inside = F.col("rank") >= start
+    if stop is not None:
+        inside = inside & (F.col("rank") < stop)
+    joined = index.select("doc_id", "rank", "pos").join(texts, "doc_id")
+    n = F.count(F.lit(1))
+    counted = joined.groupBy("doc_id").agg(F.count_if(inside & (head < q)).alias("lo"), F.count_if(inside & (head <= q)).alias("hi"), n.alias("n"))
+    first = F.least(F.lit(start), F.col("n"))
+    return counted.select("doc_id", (first + F.col("lo")).cast("int").alias("lo"), (first + F.col("hi")).cast("int").alias("hi"))
+
+
+def bisect_packed(packed: DataFrame, query: str | bytes, start: int = 0, stop: int | None = None) -> DataFrame:
+    """As bisect, by binary search in rows (doc_id, text, sa) as index.packed_texts() gives: a map without shuffle."""
+    q = _bytes(query)
+    return per_text(packed, lambda text, sa: [suffixes.bisect(text, sa, q, min(start, len(sa)), stop)] if sa else [], "lo int, hi int", inputs=("text", "sa"))
 
 
 def sa_interval(index: DataFrame, texts: DataFrame, query: str | bytes) -> DataFrame:
-    """doc_id, lo, hi of the texts in which the query occurs."""
-    return bisect(index, texts, query).where("lo < hi")
+    """doc_id, lo, hi of the texts in which the query occurs: only rows whose suffix starts with the query are gathered.
+
+    If the index has the column `head` (index.with_heads), rows are read by it first, and the texts only for longer queries.
+    """
+    q = _bytes(query)
+    rows = _starting(index, texts, q)
+    return rows.groupBy("doc_id").agg(F.min("rank").alias("lo"), (F.max("rank") + 1).alias("hi"))
+
+
+def _starting(index: DataFrame, texts: DataFrame, q: bytes) -> DataFrame:
+    """Rows of the index whose suffix starts with q."""
+    if "head" in index.columns and q:
+        part = q[:HEAD]
+        index = index.where(F.col("head") >= F.lit(part))
+        if above := _successor(part):
+            index = index.where(F.col("head") < F.lit(above))
+        if len(q) <= HEAD:
+            return index
+    return index.join(texts, "doc_id").where(_prefix(F.col("text"), F.col("pos"), len(q)) == F.lit(q))
+
+
+def _successor(q: bytes) -> bytes:
+    """The smallest bytes above all that start with q; empty if there are none."""
+    q = q.rstrip(b"\xff")
+    return q[:-1] + bytes([q[-1] + 1]) if q else b""
 
 
 def find_indexed(index: DataFrame, texts: DataFrame, query: str | bytes) -> DataFrame:
     """doc_id, ord, pos from an index: the ranks of the interval in turn."""
-    hits = index.join(sa_interval(index, texts, query), "doc_id").where("rank >= lo AND rank < hi")
-    return hits.select("doc_id", (F.col("rank") - F.col("lo")).alias("ord"), "pos")
+    hits = _starting(index, texts, _bytes(query))
+    return hits.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("rank")) - 1).alias("ord"), "pos")
 
 
+def get_children(index: DataFrame, texts: DataFrame, byte: int, left: int = 0, right: int | None = None) -> DataFrame:
+    """doc_id, lb, rb: the child of the interval left..right (the root, if not given) whose suffixes go on with `byte`.
+
+    No row where there is none; an interval of one rank has no children.
+    """
+    parts = children(index, left, right, depth=True)
+    first = parts.join(index.select("doc_id", F.col("rank").alias("lb"), "pos"), ["doc_id", "lb"]).join(texts, "doc_id")
+    return first.where(F.expr("substring(text, pos + depth + 1, 1)") == F.lit(bytes([byte]))).select("doc_id", "lb", "rb")
+

@@ -6,11 +6,14 @@ order is the order of the bytes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import check, distributed, index, intervals, matching, ranges, repeats, search, strings
-from ..sources.texts import doubled, reversed_bytes, texts, two_texts
+from ..sources.texts import doubled, reversed_bytes, texts, two_texts, write_heads
+from .lineage import shared_dir
 
 WORD, PASSAGE = "the", 32
 
@@ -74,6 +77,27 @@ def _integers(spark, d):
     )
 
 
+def _rmq_kernel(spark, d):
+    """The questions of _windows by the kernel."""
+    arrays = index.packed(_index(spark, d)).select("doc_id", F.expr("slice(lcp, 1, size(lcp) - 1)").alias("values"))
+    return ranges.rmq_kernel(arrays, _windows(spark, d)[1])
+
+
+def _document_order(spark, d):
+    """Of every document a sum that changes with the order of its suffixes: base rank of each first 32 bytes times the places."""
+    t = _documents(spark, d)
+    heads = index.with_heads(index.index_kernel(t, ("rank", "pos")), t, PASSAGE).groupBy("doc_id", "head").agg(F.min("rank").cast("long").alias("base"), F.sum(F.col("pos").cast("long")).alias("places"))
+    return heads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("heads"), F.sum(F.col("base") * F.col("places")).alias("order_sum"))
+
+
+def _find_by_head(spark, d):
+    """A search in an index stored in ranges of the suffixes' first bytes."""
+    t = _items(spark, d)
+    path = f"{shared_dir(spark)}/heads-{uuid.uuid4().hex}"
+    write_heads(index.with_heads(_index(spark, d), t), path)
+    return search.find_indexed(spark.read.parquet(path), t, WORD)
+
+
 QUERIES = {
     "suffix_array": lambda s, d: index.suffix_array(_index(s, d)),
     "suffix_array_short": lambda s, d: index.suffix_array(index.build_index(_names(s, d), "sql")),
@@ -86,13 +110,16 @@ QUERIES = {
     "packed_index": lambda s, d: index.packed(_index(s, d)).select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("sa", "isa", "lcp"))),
     "byte_buckets": lambda s, d: index.byte_buckets(_items(s, d)),
     "index_size": lambda s, d: index.index_size(_index(s, d)),
-    "document_index": lambda s, d: index.index_kernel(_documents(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("pos_sum"), F.max(F.when(F.col("rank") == 0, F.col("pos"))).alias("first")).where("n > 0").select("doc_id", "n", "pos_sum"),
+    "document_index": lambda s, d: index.index_kernel(_documents(s, d), ("pos",)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("pos_sum")),
+    "document_order": _document_order,
+    "document_integrity": lambda s, d: check.violations(index.index_kernel(_documents(s, d)), _documents(s, d)),
     "doubled": lambda s, d: _hexed(doubled(_names(s, d)), "text"),
     "reversed": lambda s, d: _hexed(reversed_bytes(_names(s, d)), "text"),
     "two_texts": lambda s, d: _hexed(two_texts(_items(s, d), _names(s, d)), "text"),
     "find": lambda s, d: search.find(_documents(s, d), WORD),
     "find_sorted": lambda s, d: search.find_sorted(_items(s, d), WORD),
     "find_indexed": lambda s, d: search.find_indexed(_index(s, d), _items(s, d), WORD),
+    "find_by_head": _find_by_head,
     "find_empty": lambda s, d: search.find_sorted(_items(s, d), ""),
     "find_many": lambda s, d: search.find_many(_documents(s, d), _table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))),
     "occ": lambda s, d: _table(s, d, "documents").select("doc_id", search.occ(F.col("text"), WORD).alias("occ")),
@@ -101,14 +128,19 @@ QUERIES = {
     "contains": lambda s, d: _table(s, d, "documents").where(search.contains(F.col("text"), "idiot")).select("doc_id"),
     "sa_interval": lambda s, d: search.sa_interval(_index(s, d), _items(s, d), WORD),
     "bisect": lambda s, d: search.bisect(_index(s, d), _items(s, d), WORD),
+    "bisect_range": lambda s, d: search.bisect(_index(s, d), _items(s, d), WORD, 20, 150),
+    "bisect_packed": lambda s, d: search.bisect_packed(index.packed_texts(_items(s, d)), WORD, 20, 150),
+    "get_children": lambda s, d: search.get_children(_index(s, d), _items(s, d), ord(WORD[0])),
+    "get_children_range": lambda s, d: search.get_children(_index(s, d), _items(s, d), ord(WORD[0]), 30, 180),
     "rmq": lambda s, d: ranges.rmq(*_windows(s, d)),
+    "rmq_kernel": _rmq_kernel,
     "rmq_blocks": _long_ranges,
     "block_numbers": lambda s, d: _index(s, d).select("doc_id", "rank", *(ranges.block_numbers(F.col("rank"))[c].alias(c) for c in ("microblock", "block", "superblock"))),
     "sparse_table_size": lambda s, d: ranges.sparse_table_size(_index(s, d)),
     "children": lambda s, d: intervals.children(_index(s, d)),
     "tree": lambda s, d: intervals.tree(_items(s, d)).select("doc_id", "lcp", "lb", "rb", "is_leaf"),
     "tree_parents": lambda s, d: _parents(intervals.tree(_items(s, d))),
-    "postorder": lambda s, d: intervals.postorder(intervals.tree(_items(s, d))).select("doc_id", "ord", "lcp", "lb", "rb"),
+    "postorder": lambda s, d: intervals.postorder(intervals.tree(_items(s, d))).select("doc_id", "ord", "lcp", "lb", "rb", F.array_join(F.transform("children", lambda c: F.format_string("%d-%d", c["lb"], c["rb"])), ",").alias("children")),
     "preorder": lambda s, d: intervals.preorder(intervals.tree(_items(s, d))),
     "interval_text": lambda s, d: intervals.tree(_items(s, d)).where("NOT is_leaf").select("doc_id", intervals.shown(F.col("lcp"), F.col("lb"), F.col("rb")).alias("shown")),
     "lrs": lambda s, d: _hexed(repeats.longest_repeated_substring(_index(s, d), _items(s, d)), "substring"),
@@ -117,7 +149,7 @@ QUERIES = {
     "tandem_sql": lambda s, d: _hexed(repeats.tandem_repeats_sql(_names(s, d)), "unit"),
     "tandem_primitive": lambda s, d: _hexed(repeats.primitive_tandem_repeats(_items(s, d)), "unit"),
     "lcs": lambda s, d: _hexed(matching.longest_common_substring(_pairs(s, d)), "result"),
-    "mum": lambda s, d: _hexed(matching.maximal_unique_matches(_pairs(s, d)), "substring").drop("ord"),
+    "mum": lambda s, d: _hexed(matching.maximal_unique_matches(_pairs(s, d)), "substring"),
     "shared_passage": lambda s, d: matching.longest_shared_passage(_documents(s, d), _items(s, d).withColumnRenamed("doc_id", "item_id"), PASSAGE),
     "palindrome": lambda s, d: _hexed(strings.longest_palindrome(_items(s, d)), "result"),
     "lcs_with_reverse": lambda s, d: _hexed(strings.lcs_with_reverse(_names(s, d)), "result"),
@@ -173,6 +205,10 @@ _OWN = """,
 u AS (SELECT doc_id, h, n, i, unnest(range(1, n - i + 1)) AS l FROM (SELECT doc_id, h, n, unnest(range(n)) AS i FROM t)),
 g AS (SELECT doc_id, substr(h, 2 * i + 1, 2 * l) AS v, count(*) AS c FROM u GROUP BY 1, 2)"""
 
+_CHILD = f"""{_I}, c AS (SELECT *, CASE WHEN rank > {{left}} THEN lcp END AS v FROM i WHERE rank BETWEEN {{left}} AND {{right}}), m AS (SELECT *, min(v) OVER (PARTITION BY doc_id) AS cut FROM c),
+g AS (SELECT *, sum((rank = {{left}} OR lcp = cut)::INT) OVER (PARTITION BY doc_id ORDER BY rank) AS k FROM m WHERE cut IS NOT NULL)
+SELECT doc_id, lb, rb FROM (SELECT doc_id, k, min(rank) AS lb, max(rank) AS rb, arg_min(x, rank) AS x, max(cut) AS cut FROM g GROUP BY doc_id, k) WHERE substr(x, 2 * cut + 1, 2) = '{_HEXQ[:2]}'"""
+
 ORACLE_SQL = {
     "suffix_array": f"{_S} SELECT doc_id, rank, pos FROM sa",
     "suffix_array_short": f"WITH {_NAMES_T}{_SFX} SELECT doc_id, rank, pos FROM sa",
@@ -186,12 +222,15 @@ ORACLE_SQL = {
     "byte_buckets": f"WITH {_ITEMS}, e AS (SELECT doc_id, substr(h, 2 * i + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(n)) AS i FROM t)), c AS (SELECT doc_id, ('0x' || x)::INT AS byte, count(*) AS n FROM e GROUP BY ALL) SELECT doc_id, byte, n, (sum(n) OVER w - n)::BIGINT AS first, (sum(n) OVER w)::BIGINT AS last FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY byte)",
     "index_size": f"WITH {_ITEMS} SELECT doc_id, n::BIGINT AS entries, (13 * n)::BIGINT AS nbytes, 104.0::DOUBLE AS bits_per_entry FROM t WHERE n > 0",
     "document_index": "SELECT doc_id, strlen(text)::BIGINT AS n, (strlen(text)::BIGINT * (strlen(text) - 1) // 2)::BIGINT AS pos_sum FROM documents WHERE strlen(text) > 0",
+    "document_order": f"WITH {_source('documents', 'doc_id', 'text')}, s AS (SELECT doc_id, substr(h, 2 * pos + 1, {2 * PASSAGE}) AS head, pos FROM (SELECT doc_id, h, unnest(range(n)) AS pos FROM t)), g AS (SELECT doc_id, head, count(*) AS c, sum(pos) AS places FROM s GROUP BY ALL), b AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY head) - c AS base FROM g) SELECT doc_id, count(*) AS heads, sum(base * places)::BIGINT AS order_sum FROM b GROUP BY doc_id",
+    "document_integrity": "SELECT NULL::BIGINT AS doc_id, NULL::INT AS rank, NULL::VARCHAR AS \"check\" WHERE false",
     "doubled": "SELECT p_partkey AS doc_id, hex(encode(p_name || p_name)) AS text FROM part",
     "reversed": f"WITH {_NAMES_T} SELECT doc_id, coalesce((SELECT string_agg(substr(h, 2 * k + 1, 2), '' ORDER BY k DESC) FROM unnest(range(n)) AS r(k)), '') AS text FROM t",
     "two_texts": "SELECT item_id AS doc_id, 0 AS side, hex(encode(text)) AS text FROM benchmark UNION ALL SELECT p_partkey, 1, hex(encode(p_name)) FROM part",
     "find": f"{_OCC} SELECT doc_id, (sum(strlen(w)) OVER (PARTITION BY doc_id ORDER BY k) + (k - 1) * {len(WORD)})::INT AS pos FROM q",
     "find_sorted": f"{_S} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS ord, pos FROM sa WHERE starts_with(x, '{_HEXQ}')",
     "find_indexed": f"{_S} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS ord, pos FROM sa WHERE starts_with(x, '{_HEXQ}')",
+    "find_by_head": f"{_S} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS ord, pos FROM sa WHERE starts_with(x, '{_HEXQ}')",
     "find_empty": f"{_S} SELECT doc_id, rank AS ord, pos FROM sa",
     "find_many": "SELECT doc_id, item_id AS query_id, strlen(string_split(d.text, b.text)[1]) AS pos FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "occ": f"SELECT doc_id, len(string_split(text, '{WORD}')) - 1 AS occ FROM documents",
@@ -200,6 +239,10 @@ ORACLE_SQL = {
     "contains": "SELECT doc_id FROM documents WHERE contains(text, 'idiot')",
     "sa_interval": f"{_S} SELECT doc_id, min(rank) AS lo, max(rank) + 1 AS hi FROM sa WHERE starts_with(x, '{_HEXQ}') GROUP BY doc_id",
     "bisect": f"{_S} SELECT doc_id, count(*) FILTER (left(x, {len(_HEXQ)}) < '{_HEXQ}') AS lo, count(*) FILTER (left(x, {len(_HEXQ)}) <= '{_HEXQ}') AS hi FROM sa GROUP BY doc_id",
+    **dict.fromkeys(("bisect_range", "bisect_packed"), f"{_S} SELECT doc_id, least(20, min(n)) + count(*) FILTER (rank >= 20 AND rank < 150 AND left(x, {len(_HEXQ)}) < '{_HEXQ}') AS lo, least(20, min(n)) + count(*) FILTER (rank >= 20 AND rank < 150 AND left(x, {len(_HEXQ)}) <= '{_HEXQ}') AS hi FROM sa GROUP BY doc_id"),
+    "get_children": _CHILD.format(left=0, right=1 << 30),
+    "get_children_range": _CHILD.format(left=30, right=180),
+    "rmq_kernel": f"{_I}, q AS (SELECT DISTINCT doc_id, greatest(rank - rank % 7, 0) AS i, least(rank + rank % 7, n - 1) AS j FROM i) SELECT q.doc_id, q.i, q.j, arg_min(v.rank, v.lcp * 100000 + v.rank) AS argmin FROM q JOIN i v ON v.doc_id = q.doc_id AND v.rank BETWEEN q.i AND q.j GROUP BY ALL",
     "rmq": f"{_I}, q AS (SELECT DISTINCT doc_id, greatest(rank - rank % 7, 0) AS i, least(rank + rank % 7, n - 1) AS j FROM i) SELECT q.doc_id, q.i, q.j, arg_min(v.rank, v.lcp * 100000 + v.rank) AS argmin FROM q JOIN i v ON v.doc_id = q.doc_id AND v.rank BETWEEN q.i AND q.j GROUP BY ALL",
     "rmq_blocks": f"{_I} SELECT q.doc_id, q.rank AS i, q.n - 1 AS j, arg_min(v.rank, v.lcp * 100000 + v.rank) AS argmin FROM i q JOIN i v ON v.doc_id = q.doc_id AND v.rank >= q.rank GROUP BY q.doc_id, q.rank, q.n",
     "block_numbers": f"{_S} SELECT doc_id, rank, rank // 8 AS microblock, rank // 16 AS block, rank // 256 AS superblock FROM sa",
@@ -207,7 +250,7 @@ ORACLE_SQL = {
     "children": f"{_I}, c AS (SELECT *, CASE WHEN rank > 0 THEN lcp END AS v FROM i), m AS (SELECT *, min(v) OVER (PARTITION BY doc_id) AS cut FROM c), g AS (SELECT *, sum((rank = 0 OR lcp = cut)::INT) OVER (PARTITION BY doc_id ORDER BY rank) AS k FROM m WHERE cut IS NOT NULL) SELECT doc_id, coalesce(min(CASE WHEN rank > 0 AND lcp <> cut THEN lcp END), max(n)) AS lcp, min(rank) AS lb, max(rank) AS rb FROM g GROUP BY doc_id, k",
     "tree": f"{_T} SELECT doc_id, lcp, lb, rb, is_leaf FROM nd",
     "tree_parents": f"{_T} SELECT c.doc_id, c.lb, c.rb, c.is_leaf, max(p.lb) AS plb, min(p.rb) AS prb FROM nd c JOIN nd p ON p.doc_id = c.doc_id AND NOT p.is_leaf AND p.lb <= c.lb AND p.rb >= c.rb AND (c.is_leaf OR p.rb - p.lb > c.rb - c.lb) GROUP BY c.doc_id, c.lb, c.rb, c.is_leaf",
-    "postorder": f"{_T} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rb, lb DESC) - 1 AS ord, lcp, lb, rb FROM nd WHERE NOT is_leaf",
+    "postorder": f"{_T}, up AS (SELECT c.doc_id, c.lb, c.rb, max(p.lb) AS plb, min(p.rb) AS prb FROM nd c JOIN nd p ON p.doc_id = c.doc_id AND NOT p.is_leaf AND NOT c.is_leaf AND p.lb <= c.lb AND p.rb >= c.rb AND p.rb - p.lb > c.rb - c.lb GROUP BY c.doc_id, c.lb, c.rb), ch AS (SELECT doc_id, plb AS lb, prb AS rb, string_agg(lb || '-' || rb, ',' ORDER BY lb) AS children FROM up GROUP BY ALL) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rb, lb DESC) - 1 AS ord, lcp, lb, rb, coalesce(children, '') AS children FROM nd LEFT JOIN ch USING (doc_id, lb, rb) WHERE NOT is_leaf",
     "preorder": f"{_T} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lb, rb DESC, is_leaf) - 1 AS ord, CASE WHEN is_leaf THEN n ELSE lcp END AS lcp, lb, rb FROM nd",
     "interval_text": f"{_T} SELECT doc_id, 'CI(lcp=' || lcp || ', lb=' || lb || ', rb=' || rb || ')' AS shown FROM nd WHERE NOT is_leaf",
     "lrs": f"WITH {_ITEMS}{_OWN}, m AS (SELECT doc_id, max(length(v)) AS m FROM g WHERE c > 1 GROUP BY doc_id) SELECT u.doc_id, u.i AS pos, g.v AS substring FROM g JOIN m ON m.doc_id = g.doc_id AND length(g.v) = m.m AND g.c > 1 JOIN u ON u.doc_id = g.doc_id AND 2 * u.l = m.m AND substr(u.h, 2 * u.i + 1, m.m) = g.v",
@@ -216,7 +259,12 @@ ORACLE_SQL = {
     "tandem_sql": _TANDEM.format(src=_NAMES_T) + ' SELECT doc_id, "left", "right", period, substr(h, 2 * ("right" - 2 * period) + 1, 2 * period) AS unit, ("right" - "left") // period AS copies, ("right" - "left") % period AS remainder FROM r',
     "tandem_primitive": _TANDEM.format(src=_ITEMS) + ', f AS (SELECT doc_id, "left", "right", min(period) AS period, min(h) AS h FROM r GROUP BY ALL) SELECT doc_id, "left", "right", period, ("right" - "left") // period AS copies, ("right" - "left") % period AS remainder, substr(h, 2 * "left" + 1, 2 * period) AS unit FROM f'.replace("min(h) AS h FROM r GROUP BY ALL", 'min(h) AS h FROM r GROUP BY doc_id, "left", "right"'),
     "lcs": f"{_PAIRS}{_GRAMS}, m AS (SELECT pair_id, v, max(length(v)) OVER (PARTITION BY pair_id) AS m FROM ga JOIN gb USING (pair_id, v)) SELECT p.pair_id, coalesce(min(v), '') AS result FROM p LEFT JOIN m ON m.pair_id = p.pair_id AND length(v) = m GROUP BY p.pair_id",
-    "mum": f"{_PAIRS}{_GRAMS} SELECT p.pair_id, ga.v AS substring FROM p JOIN ga USING (pair_id) JOIN gb ON gb.pair_id = ga.pair_id AND gb.v = ga.v WHERE ga.c = 1 AND gb.c = 1 AND (ga.i = 0 OR gb.i = 0 OR substr(a, 2 * ga.i - 1, 2) <> substr(b, 2 * gb.i - 1, 2)) AND (2 * ga.i + length(ga.v) = length(a) OR 2 * gb.i + length(gb.v) = length(b) OR substr(a, 2 * ga.i + length(ga.v) + 1, 2) <> substr(b, 2 * gb.i + length(gb.v) + 1, 2))",
+    "mum": f"{_PAIRS}{_GRAMS} SELECT p.pair_id, row_number() OVER (PARTITION BY p.pair_id ORDER BY ga.v) - 1 AS ord, ga.v AS substring FROM p JOIN ga USING (pair_id) JOIN gb ON gb.pair_id = ga.pair_id AND gb.v = ga.v WHERE ga.c = 1 AND gb.c = 1 AND (ga.i = 0 OR gb.i = 0 OR substr(a, 2 * ga.i - 1, 2) <> substr(b, 2 * gb.i - 1, 2)) AND (2 * ga.i + length(ga.v) = length(a) OR 2 * gb.i + length(gb.v) = length(b) OR substr(a, 2 * ga.i + length(ga.v) + 1, 2) <> substr(b, 2 * gb.i + length(gb.v) + 1, 2))",
+    "shared_passage": f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents), b AS (SELECT item_id, hex(encode(text)) AS h, strlen(text) AS n FROM benchmark),
+dg AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * PASSAGE}) AS g FROM (SELECT doc_id, h, unnest(range(n - {PASSAGE} + 1)) AS i FROM d WHERE n >= {PASSAGE})),
+bg AS (SELECT item_id, i, substr(h, 2 * i + 1, {2 * PASSAGE}) AS g FROM (SELECT item_id, h, unnest(range(n - {PASSAGE} + 1)) AS i FROM b WHERE n >= {PASSAGE})),
+m AS (SELECT doc_id, item_id, dg.i AS i, dg.i - bg.i AS line FROM dg JOIN bg USING (g)), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, line ORDER BY i) AS run FROM m)
+SELECT doc_id, item_id, (max(c) + {PASSAGE} - 1)::INT AS size FROM (SELECT doc_id, item_id, line, run, count(*) AS c FROM r GROUP BY ALL) GROUP BY doc_id, item_id""",
     "palindrome": f"WITH {_ITEMS}, u AS (SELECT doc_id, n, list_reduce(list_prepend('', [substr(h, 2 * k + 1, 2) FOR k IN range(n)]), lambda x, y: y || x) AS r, h FROM t), s AS (SELECT doc_id, h, r, n, i, unnest(range(1, n - i + 1)) AS l FROM (SELECT *, unnest(range(n)) AS i FROM u)), q AS (SELECT doc_id, l, substr(h, 2 * i + 1, 2 * l) AS v FROM s WHERE substr(h, 2 * i + 1, 2 * l) = substr(r, 2 * (n - i - l) + 1, 2 * l)) SELECT doc_id, min(v) AS result FROM (SELECT *, max(l) OVER (PARTITION BY doc_id) AS m FROM q) WHERE l = m GROUP BY doc_id",
     "lcs_with_reverse": f"WITH {_NAMES_T}, u AS (SELECT doc_id, n, h, list_reduce(list_prepend('', [substr(h, 2 * k + 1, 2) FOR k IN range(n)]), lambda x, y: y || x) AS r FROM t), s AS (SELECT doc_id, r, i, l, substr(h, 2 * i + 1, 2 * l) AS v, n FROM (SELECT *, unnest(range(1, n - i + 1)) AS l FROM (SELECT *, unnest(range(n)) AS i FROM u))), q AS (SELECT doc_id, l, v FROM s WHERE len(list_filter(range(n - l + 1), lambda k: substr(r, 2 * k + 1, 2 * l) = v)) > 0) SELECT doc_id, min(v) AS result FROM (SELECT *, max(l) OVER (PARTITION BY doc_id) AS m FROM q) WHERE l = m GROUP BY doc_id",
     "rotation": f"WITH {_ITEMS} SELECT doc_id, min(substr(h || h, 2 * k + 1, 2 * n)) AS result FROM (SELECT doc_id, h, n, unnest(range(n)) AS k FROM t) GROUP BY doc_id",

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint under spark.checkpoint.dir; a temporary folder only if that is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which driver and executors share.
+
+    Only where all run in one process (a local master) a temporary folder stands in for an unset one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="strandex-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

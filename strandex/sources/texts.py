@@ -39,3 +39,8 @@ def write_index(index: DataFrame, table: str, buckets: int = 64) -> None:
 
 def read_index(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
+
+
+def write_heads(heads: DataFrame, path: str) -> None:
+    """Saves an index with heads (operators.index.with_heads) in ranges of `head`, so that a search reads few row groups."""
+    heads.repartitionByRange("head").sortWithinPartitions("head").write.parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import index, repeats, search, strings
 from ..sources.texts import texts
@@ -27,3 +28,16 @@ def stream_tandem_repeats(stream: DataFrame) -> DataFrame:
 
 def stream_lz_factors(stream: DataFrame) -> DataFrame:
     return strings.lz_factors(stream)
+
+
+def stream_rotations(stream: DataFrame) -> DataFrame:
+    return strings.minimum_rotation(stream)
+
+
+def stream_palindromes(stream: DataFrame) -> DataFrame:
+    return strings.longest_palindrome(stream)
+
+
+def stream_occ(stream: DataFrame, query: str) -> DataFrame:
+    """doc_id, occ: the text's bytes are read as UTF-8."""
+    return stream.select("doc_id", search.occ(F.decode("text", "UTF-8"), query).alias("occ"))

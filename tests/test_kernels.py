@@ -1,5 +1,9 @@
 """Kernels against their definitions."""
 
+import time
+
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -126,3 +130,11 @@ def test_gram_hashes():
         assert len(h) == len(t) - n + 1 and len(set(h)) == len({t[i : i + n] for i in range(len(h))})
         assert all((h[i] == h[0]) == (t[i : i + n] == t[:n]) for i in range(len(h)))
     assert len(k.gram_hashes(b"ab", 3)) == 0
+
+
+@pytest.mark.parametrize("text", [np.random.default_rng(1).bytes(1 << 18), bytes(np.random.default_rng(2).integers(97, 101, 1 << 18, dtype=np.uint8)), (b"the quick brown fox jumps over " * 9000)[: 1 << 18], b"a" * (1 << 17)])
+def test_long_texts_take_seconds(text):
+    for kernel in (k.factors, k.tandems):
+        began = time.process_time()
+        kernel(text)
+        assert time.process_time() - began < 10

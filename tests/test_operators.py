@@ -69,6 +69,101 @@ def test_search(spark, table):
     assert sorted(rows(many, "doc_id", "query_id", "pos")) == want
 
 
+def test_many_queries_by_join(table, spark, monkeypatch):
+    asked = spark.createDataFrame([(1, "a"), (2, "ss"), (3, ""), (4, None), (5, "a"), (6, "abaababaabaababaab"), (7, "issi")], "query_id int, q string")
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    got = search.find_many(table, asked)
+    want = sorted((k, r["query_id"], p) for k, t in enumerate(EDGE) for r in asked.collect() if r["q"] is not None for p in range(len(t)) if t.startswith(r["q"].encode(), p))
+    assert sorted(rows(got, "doc_id", "query_id", "pos")) == want
+
+
+def test_bisect(table):
+    i, packed = index.build_index(table), index.packed_texts(table)
+    for q in (b"", b"a", b"an", b"b", b"\xff", b"zz"):
+        for start, stop in ((0, None), (1, 4), (3, 100), (50, 60)):
+            want = []
+            for k, t in enumerate(EDGE):
+                heads = [t[p : p + len(q)] for p in sorted(range(len(t)), key=lambda p: t[p:])]
+                inside, first = heads[start:stop], min(start, len(heads))
+                if heads:
+                    want.append((k, first + sum(h < q for h in inside), first + sum(h <= q for h in inside)))
+            for got in (search.bisect(i, table, q, start, stop), search.bisect_packed(packed, q, start, stop)):
+                assert sorted(rows(got, "doc_id", "lo", "hi")) == want
+
+
+def test_get_children(table):
+    i = index.build_index(table)
+    t = EDGE[4]
+    sa = sorted(range(len(t)), key=lambda p: t[p:])
+
+    def by_hand(byte, left, right):
+        shared = 0
+        while len({t[p + shared : p + shared + 1] for p in sa[left : right + 1]}) == 1:
+            shared += 1
+        own = [r for r in range(left, right + 1) if t[sa[r] + shared : sa[r] + shared + 1] == byte]
+        return [(own[0], own[-1])] if own else []
+
+    for byte in (b"i", b"s", b"p", b"z"):
+        assert rows(search.get_children(i, table, byte[0]).where("doc_id = 4"), "lb", "rb") == by_hand(byte, 0, len(t) - 1)
+        assert rows(search.get_children(i, table, byte[0], 0, 3).where("doc_id = 4"), "lb", "rb") == by_hand(byte, 0, 3)
+        assert rows(search.get_children(i, table, byte[0], 2, 2).where("doc_id = 4"), "lb", "rb") == []
+
+
+def test_search_by_heads_prunes_the_scan(spark, table, tmp_path):
+    path = str(tmp_path / "heads")
+    sources.write_heads(index.with_heads(index.build_index(table), table), path)
+    stored = spark.read.parquet(path)
+    for q in (b"ana", b"\xff", b"abaababaab", b"", b"zz"):
+        assert sorted(rows(search.find_indexed(stored, table, q), "doc_id", "ord", "pos")) == sorted(rows(search.find_indexed(index.build_index(table), table, q), "doc_id", "ord", "pos"))
+    plan = search.find_indexed(stored, table, b"ana")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(head" in plan and "LessThan(head" in plan and "Join" not in plan
+
+
+def test_materialised(table):
+    i = index.build_index(table)
+    assert index.materialised(i) == []
+    i.persist()
+    assert index.materialised(i) == i.columns
+    i.unpersist()
+
+
+def test_index_columns(table):
+    whole = index.index_kernel(table)
+    for columns in (("pos",), ("rank", "pos"), ("lcp", "bwt")):
+        assert sorted(rows(index.index_kernel(table, columns), "doc_id", *columns)) == sorted(rows(whole, "doc_id", *columns))
+
+
+def test_order_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("text"))
+    got = {r["doc_id"]: r["sa"] for r in index.index_kernel(docs, ("rank", "pos")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pos"))), lambda x: x["pos"]).alias("sa")).collect()}
+    for r in docs.collect():
+        t = bytes(r["text"] or b"")
+        if 0 < len(t) < 5000:
+            assert got[r["doc_id"]] == sorted(range(len(t)), key=lambda p, t=t: t[p:])
+
+
+def test_range_minimum_by_kernel(spark):
+    a = [3, 1, 2, 1] * 150
+    arrays = spark.createDataFrame([(1, a), (2, [5])], "doc_id long, values array<int>")
+    asked = [(1, 0, 3), (1, 2, 2), (1, 0, 599), (1, 255, 257), (2, 0, 0)]
+    got = ranges.rmq_kernel(arrays, spark.createDataFrame([*asked, asked[0]], "doc_id long, i int, j int"))
+    assert sorted(rows(got, "doc_id", "i", "j", "argmin")) == sorted((k, i, j, min(range(i, j + 1), key=lambda x: (a[x], x)) if k == 1 else 0) for k, i, j in asked)
+    for bad in ((1, 3, 2), (1, 0, 600), (3, 0, 0)):
+        with pytest.raises(Exception, match="IndexError"):
+            ranges.rmq_kernel(arrays, spark.createDataFrame([bad], "doc_id long, i int, j int")).collect()
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace as Some
+
+    from strandex.plans import lineage
+
+    for master in ("spark://x:7077", "local-cluster[3,2,1024]", "yarn"):
+        session = Some(conf=Some(get=lambda k, d: None), sparkContext=Some(master=master))
+        with pytest.raises(ValueError, match="checkpoint"):
+            lineage.shared_dir(session)
+
+
 def test_contains_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(1, "banana"), (2, "x")], "doc_id long, text string").write.parquet(path)
@@ -169,3 +264,14 @@ def test_streams(spark, tmp_path):
     stream = streaming.stream_index(streaming.read_stream(spark, source, "doc_id long, text string", "doc_id", "text"))
     stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out).awaitTermination(60)
     assert spark.read.parquet(out).count() == 8
+
+
+@pytest.mark.parametrize(("name", "args", "want"), [("stream_find", ("a",), 5), ("stream_tandem_repeats", (), 2), ("stream_lz_factors", (), 6), ("stream_rotations", (), 2), ("stream_palindromes", (), 2), ("stream_occ", ("a",), 2)])
+def test_streamed_operators(spark, tmp_path, name, args, want):
+    from strandex.streaming import texts as streaming
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1, "banana"), (2, "aa")], "doc_id long, text string").write.parquet(source)
+    stream = getattr(streaming, name)(streaming.read_stream(spark, source, "doc_id long, text string", "doc_id", "text"), *args)
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out).awaitTermination(60)
+    assert spark.read.parquet(out).count() == want
