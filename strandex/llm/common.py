@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.lineage import shared_dir
+
 #: Bytes of text that a numpy kernel handles at once; a longer document is handled alone.
 CHUNK_BYTES = 2 << 20
 
@@ -21,17 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share; a temporary one only if it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="strandex-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -3,13 +3,15 @@ the training texts inside one code-generated stage; hits are verified word by wo
 
 Words are runs of digits, lower-case a-z (A-Z are lowered) and characters beyond ASCII.  A window has WINDOW consecutive
 words of an item; an item with fewer words, but not none, is one window.  Equal windows of several items are one row of
-the set.  The set is broadcast while it has at most BROADCAST_WINDOWS rows; beyond, both sides are shuffled on the
-window's hash and text, where adaptive execution may split a window that is very frequent.
+the set.  The set is broadcast while it holds at most BROADCAST_BYTES; beyond, both sides are shuffled on the window's
+hash and text, where adaptive execution may split a window that is very frequent.
 
-Only hits and one row for each document are shuffled, by document.
+Only hits and one row for each document are shuffled, by document; those of rows alike in doc_id and text are merged
+before the shuffle, so many such rows (without ids, say) are few there.
 
 Edge cases: null and empty texts have no words; a null item_id counts as the empty id; rows with equal doc_id are judged
-each by its own text; wholly equal rows all come back.
+each by its own text; wholly equal rows all come back; an empty benchmark hits nothing; other columns of docs are not
+looked at, and clean() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import read, stored
 
 WINDOW = 10
-BROADCAST_WINDOWS = 500_000
-BROADCAST_IDS = 500_000
+BROADCAST_BYTES = 32 << 20
+BROADCAST_IDS = 500_000  # rows of two numbers
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -62,7 +64,8 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, base_rows: boo
         n = lengths[0] if lengths else window
         probe = placed.select("doc_id", "sig", "words", "i", F.lit(n).alias("length"), _hash(F.col("i"), n).alias("h"))
     text = F.array_join(F.slice("words", F.greatest(F.col("i"), F.lit(0)) + 1, F.col("length")), " ")
-    if hashes.count() <= BROADCAST_WINDOWS:
+    held = hashes.agg(F.sum(F.octet_length("w") + F.octet_length(F.array_join("ids", ",")) + 16 * F.size("ids") + 64)).first()[0] or 0
+    if held <= BROADCAST_BYTES:
         # The words are compared after the join, so that only hits of the hash pay for them.
         found = probe.join(F.broadcast(hashes.withColumnRenamed("h", "bh")), F.col("h") == F.col("bh"), "left").where((F.col("i") < 0) | (text == F.col("w")))
         n_words = F.size("words")
@@ -76,14 +79,14 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, base_rows: boo
 
 def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
-    found = hits(docs, bench, window)
+    found = hits(docs, bench, window).groupBy("doc_id", "sig", "i", "length").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), F.count(F.lit(1)).alias("c"))
     before = W.partitionBy("doc_id", "sig").orderBy("i", "length").rowsBetween(W.unboundedPreceding, -1)
     end = F.when(F.col("i") >= 0, F.col("i") + F.col("length"))
     reach = F.coalesce(F.max(end).over(before), F.lit(0))
     covered = found.withColumn("fresh", F.when(F.col("i") >= 0, F.greatest(F.lit(0), F.col("i") + F.col("length") - F.greatest(F.col("i"), reach))).otherwise(0))
     each = covered.groupBy("doc_id", "sig").agg(
         F.max("n").alias("n_words"), F.sum("fresh").cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.count("n").alias("times"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.max(F.when(F.col("i") < 0, F.col("c"))).alias("times"),
     )
     out = each.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
@@ -94,9 +97,10 @@ def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the documents in which a window of an item occurs; all columns stay."""
-    found = stored(hits(docs, bench, window, base_rows=False).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig")).distinct(), "contaminated")
+    found = stored(hits(docs, bench, window, base_rows=False).select(F.col("doc_id").alias("id"), "sig").distinct(), "contaminated")
     few = found.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__sig")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("own"))
+    return rows.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sig")), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir) -> DataFrame:
@@ -110,11 +114,10 @@ b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') AS v
   FROM (SELECT item_id, w, unnest(range(len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
 p AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
-h AS (SELECT r, i, n, item_id FROM p JOIN (SELECT DISTINCT n FROM bw) USING (n_dummy) WHERE false),
 hit AS (SELECT p.r, p.i, bw.n, bw.item_id FROM (SELECT r, i, n, array_to_string(w[i + 1 : i + n], ' ') AS v FROM p, (SELECT DISTINCT n FROM bw) WHERE i + n <= len(w)) p JOIN bw ON p.v = bw.v AND p.n = bw.n),
 cover AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS q FROM hit) GROUP BY r),
 ids AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, '') AS s FROM hit) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (r) LEFT JOIN ids USING (r)
-""".replace("h AS (SELECT r, i, n, item_id FROM p JOIN (SELECT DISTINCT n FROM bw) USING (n_dummy) WHERE false),\n", "")
+"""

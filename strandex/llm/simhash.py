@@ -38,7 +38,8 @@ BLOCK = 1024
 SHINGLE = 4
 WIDE_LANES, WIDE_SHINGLE, WIDE_DISTANCE = 4, 5, 44
 FREQUENT_SAMPLE, FREQUENT_LEAST, FREQUENT_MOST = 5000, 5, 50_000
-BROADCAST_ROOTS = 1_000_000
+BROADCAST_ROOTS = 1_000_000  # rows of two numbers
+SALTS = 32
 PIECE = 1 << 20
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -218,6 +219,9 @@ def _labels(n: int, match) -> np.ndarray:
     label = np.arange(n)
     for a in range(0, n, BLOCK):
         for b in range(a, n, BLOCK):
+            one = label[a]
+            if b > a and (label[a : a + BLOCK] == one).all() and (label[b : b + BLOCK] == one).all():
+                continue  # joined already: their pairs add nothing
             i, j = np.nonzero(match(a, min(a + BLOCK, n), b, min(b + BLOCK, n)))
             i, j = i + a, j + b
             i, j = i[i < j], j[i < j]
@@ -234,12 +238,11 @@ def _labels(n: int, match) -> np.ndarray:
     return label
 
 
-def _streamed(batches, width: int, small, large):
+def _streamed(batches, small, large):
     """Streams rows (k, node, bits...) sorted by k; gives links (u, v) that join in each run of k what its pairs join.
 
     small(columns, i, j): which rows i and j match; large(columns): a run's match for _labels.
     """
-    held = [np.zeros(0, np.int64)] * width
 
     def solve(c):
         k, node = c[0], c[1]
@@ -262,14 +265,28 @@ def _streamed(batches, width: int, small, large):
         pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
+    for c in _whole_runs(batches):
+        yield solve(c)
+
+
+def _whole_runs(batches):
+    """Columns of batches sorted by the first one, cut so that no run of equal values is parted; a long run is put together once."""
+    held: list[list[np.ndarray]] = []
     for b in batches:
-        c = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, b.columns, strict=True)]
-        done = int(np.searchsorted(c[0], c[0][-1], "left")) if len(c[0]) else 0
-        if done:
-            yield solve([x[:done] for x in c])
-        held = [x[done:] for x in c]
-    if len(held[0]):
-        yield solve(held)
+        if not b.num_rows:
+            continue
+        c = [x.to_numpy() for x in b.columns]
+        k = c[0]
+        if held and k[0] != held[-1][0][-1]:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        if k[0] != k[-1]:
+            cut = int(np.searchsorted(k, k[-1], "left"))
+            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in c], strict=True)]
+            held, c = [], [x[cut:] for x in c]
+        held.append(c)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _links(batches):
@@ -283,7 +300,7 @@ def _links(batches):
         f, start = c[1].view(np.uint64), int((c[0][0] >> 32) // 6)
         return lambda a, b, p, q: _within(f[a:b, None], f[None, p:q], np.full((1, 1), start))
 
-    yield from _streamed(batches, 2, small, large)
+    yield from _streamed(batches, small, large)
 
 
 def _wide_links(batches):
@@ -299,7 +316,7 @@ def _wide_links(batches):
         f = bits(c)
         return lambda a, b, p, q: sum(np.bitwise_count(x[a:b, None] ^ x[None, p:q]).astype(np.int16) for x in f) <= WIDE_DISTANCE
 
-    yield from _streamed(batches, 2 + WIDE_LANES, small, large)
+    yield from _streamed(batches, small, large)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -342,10 +359,22 @@ def wide_links(distinct: DataFrame) -> DataFrame:
 
 
 def _named(fps: DataFrame, distinct: DataFrame, tree: DataFrame, node: str) -> DataFrame:
-    """fps with component_id and the component's root node; distinct: node, least."""
-    rooted = distinct.join(tree.withColumnRenamed("node", node), node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(ids, "root").select(node, "component_id", "root"), node)
+    """fps with component_id and the component's root node; distinct: node, least; tree: node, root of all nodes that are no root.
+
+    Roots of components of several nodes get their smallest id in one aggregation; they are broadcast up to BROADCAST_ROOTS,
+    beyond that a component's nodes are dealt by a salt, too, so that a large one is no single task.
+    """
+    joined = distinct.join(tree.withColumnRenamed("node", node), node, "left")
+    below = joined.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("low"))
+    ids = below.join(distinct.withColumnRenamed(node, "root"), "root").select("root", F.least("low", "least").alias("smallest"))
+    ids = checkpoint(ids)
+    rooted = joined.withColumn("root", F.coalesce("root", node))
+    if ids.count() <= BROADCAST_ROOTS:
+        known = rooted.join(F.broadcast(ids), "root", "left")
+    else:
+        spread = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        known = rooted.withColumn("salt", F.pmod(F.hash(node), F.lit(SALTS))).join(spread, ["root", "salt"], "left")
+    return fps.join(known.select(node, F.coalesce("smallest", "least").alias("component_id"), "root"), node)
 
 
 def with_component(fps: DataFrame) -> DataFrame:
@@ -432,14 +461,14 @@ def with_prefix_keys(texts: DataFrame, last: np.ndarray) -> DataFrame:
 
 
 def _prefix_pairs(batches):
-    """Pairs (u, v) of different roots in rows (k, root, node, size, pos) sorted by k and root, that can still be similar.
+    """Rows (u, v, nu, nv) for each shingle that the prefixes of two nodes of different roots share; from rows (k, root, node, size, pos) sorted by k, root and node.
 
-    At the first shingle that two prefixes share, what follows it bounds what the sets share.
+    What stands before the shingle and what follows it bound what the two sets share; rows beyond that bound are left out.
     """
-    held = [np.zeros(0, np.int64)] * 5
 
     def pairs(c):
-        k, root, node, size, pos = c
+        same = (c[0][1:] == c[0][:-1]) & (c[2][1:] == c[2][:-1])  # copies of one text
+        k, root, node, size, pos = (x[np.append(True, ~same)] for x in c)
         n = len(k)
         runs = np.append(np.flatnonzero(np.diff(k)) + 1, n)
         groups = np.append(np.flatnonzero((np.diff(k) != 0) | (np.diff(root) != 0)) + 1, n)
@@ -451,35 +480,38 @@ def _prefix_pairs(batches):
         while i < n:
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PIECE, "right")))
             a, b = np.repeat(rows[i:j], counts[i:j]), ranges(begin[i:j], counts[i:j])
-            ok = similar(np.minimum(size[a] - pos[a], size[b] - pos[b]), size[a] + size[b])
-            u, v = node[a[ok]], node[b[ok]]
-            if len(u):
-                both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+            shared = np.minimum(size[a] - pos[a], size[b] - pos[b]) + np.minimum(pos[a], pos[b])
+            ok = similar(shared, size[a] + size[b])
+            a, b = a[ok], b[ok]
+            if len(a):
+                turned = node[a] > node[b]
+                a, b = np.where(turned, b, a), np.where(turned, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], size[a].astype(np.int32), size[b].astype(np.int32))], ["u", "v", "nu", "nv"])
             i = j
 
-    for b in batches:
-        c = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, b.columns, strict=True)]
-        done = int(np.searchsorted(c[0], c[0][-1], "left")) if len(c[0]) else 0
-        if done:
-            yield from pairs([x[:done] for x in c])
-        held = [x[done:] for x in c]
-    if len(held[0]):
-        yield from pairs(held)
+    for c in _whole_runs(batches):
+        yield from pairs(c)
 
 
 def remaining_links(texts: DataFrame, tree: DataFrame, n: int) -> DataFrame:
-    """Links (u, v) of all similar texts (node, text; n nodes) that the components `tree` (node, root) do not join yet."""
+    """Links (u, v) of all similar texts (node, text; n nodes) that the components `tree` (node, root) do not join yet.
+
+    Two sets share what their prefixes share and, beyond that, members that follow the prefix whose last member stands
+    first in the order.  By that bound most pairs that meet on a common passage only go before texts are compared.
+    """
     tree = F.broadcast(tree) if tree.count() <= BROADCAST_ROOTS else tree
     rooted = texts.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keyed = with_prefix_keys(rooted, frequent(texts, n)).repartition("k").sortWithinPartitions("k", "root", "node")
-    return verified(stored(keyed.mapInArrow(_prefix_pairs, "u long, v long").distinct(), "prefix-pairs"), texts)
+    met = keyed.mapInArrow(_prefix_pairs, "u long, v long, nu int, nv int").groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("c"))
+    behind = F.greatest(*(F.expr(f"(4 * {x} + 4) div 5") - 1 for x in ("nu", "nv")))
+    close = met.where(similar(F.col("c") + behind, F.col("nu") + F.col("nv")))
+    return verified(stored(close.select("u", "v"), "prefix-pairs"), texts)
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of each component of near duplicates: that with the smallest doc_id (null first; of equal ids one text).
 
-    Rows without a near duplicate stay as they are; docs' columns are kept.
+    Rows without a near duplicate stay as they are; docs' columns are kept, whatever their names.
     """
     names = tuple(f"f{k}" for k in range(WIDE_LANES))
     # Texts without a word are one node, others one for each text.
@@ -492,9 +524,11 @@ def survivors(docs: DataFrame) -> DataFrame:
     more = checkpoint(remaining_links(texts, tree, distinct.count()))
     tree = tree if more.isEmpty() else components(near.union(more))
     rooted = tagged.join(tree, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
-    chosen = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.h").alias("__h"))
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
-    return kept if tagged.groupBy("doc_id", "h").count().where("count > 1").limit(1).isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    chosen = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.h").alias("h"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("h")), "left_semi")
+    alone = tagged.groupBy("doc_id", "h").count().where("count > 1").limit(1).isEmpty()
+    return (kept if alone else kept.dropDuplicates(["doc_id", "text"])).select("row.*")
 
 
 def query(spark, sf_dir) -> DataFrame:

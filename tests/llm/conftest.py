@@ -38,7 +38,7 @@ def clashing(edges):
     """The same rows with columns of the operators' own names."""
     from pyspark.sql import functions as F
 
-    names = ["words", "h", "i", "w", "ids", "fp", "k", "d", "th", "size", "rate", "target", "score", "predicted", "copies", "row", "gone", "kept", "sig", "n", "v", "asked"]
+    names = ["__id", "__h", "__sig", "__source", "__rank", "source_size", "copy", "node", "root", "id", "own", "own_text", "words", "h", "i", "w", "ids", "fp", "k", "d", "th", "size", "rate", "target", "score", "predicted", "copies", "row", "gone", "kept", "sig", "n", "v", "asked"]
     return edges.withColumns({n: F.lit("clash") for n in names})
 
 

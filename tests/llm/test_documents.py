@@ -52,7 +52,7 @@ def bench(edge_rows):
 
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_decontaminate(spark, edges, edge_rows, bench, limit, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     got = decontaminate.report(edges, spark.createDataFrame(bench, "item_id long, text string"))
     assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=str) == hits_by_hand(edge_rows, bench)
 
