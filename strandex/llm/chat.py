@@ -7,12 +7,16 @@ join on conversation and identifier.  Messages are ordered so that a result foll
 call lies one level above the deepest call it depends on.  Arguments are held against the tools' schemas (a JSON-schema
 subset: type, required, properties, additionalProperties, items, enum, minimum, maximum, minLength, maxLength).
 
-Messages stay rows, so no conversation is gathered in a task but by the sort that numbers its messages, which spills.
+Messages stay rows: their places come from a sort in ranges, so that a conversation (or all rows without conv_id, which
+count as one) that holds a third of all messages is spread over many tasks.  The order of calls is given as the field
+`level`; calls of a turn are serialised by place.
 
 Edge cases: null texts give a message without content; null roles and turns sort first; text that is no JSON object is
 plain content; a call id used twice in a conversation links its first call (by turn, then place) and marks the others
-duplicate; results without call and calls without result are kept and marked; calls in a cycle get a null level; with
-no schema for a tool the arguments count as valid if they are an object.
+duplicate; calls without id stay calls, and nothing links to them; results without call and calls without result are kept
+and marked; calls in a cycle or behind one get a null level; with no schema for a tool the arguments count as valid if
+they are an object; equal rows are messages of their own, each with its own calls; a text of any length is one message;
+an empty table gives none; columns beside conv_id, turn, role and text are not looked at.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, read, stored
+from .common import checkpoint, placed_within, read, stored
 
-ROUNDS = 30
+ROUNDS = 30  # of the topological order, before small conversations are followed whole
+FOLLOWED = 200_000  # dependencies left in a conversation that one task follows
 _CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
@@ -124,7 +129,9 @@ def link(parsed: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame
     each = parsed.where(F.size("calls") > 0).select("conv_id", "conv", "row", "turn", F.posexplode("calls").alias("place", "c"))
     each = each.select("conv_id", "conv", "row", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), judged(F.col("c.name"), F.col("c.arguments")).alias("j"), F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
     each = each.select("conv_id", "conv", "row", "turn", "place", "call_id", "name", "j.arguments", "j.errors", "depends_on")
-    each = checkpoint(each.withColumn("duplicate", (F.row_number().over(W.partitionBy("conv", "call_id").orderBy("turn", "place", "arguments")) > 1) & F.col("call_id").isNotNull()))
+    own = F.struct("turn", "place", "arguments", "row")
+    first = each.where(F.col("call_id").isNotNull()).groupBy("conv", "call_id").agg(F.min(own).alias("first"))
+    each = checkpoint(each.join(first, ["conv", "call_id"], "left").withColumn("duplicate", F.col("first").isNotNull() & (own != F.col("first"))).drop("first"))
     results = parsed.where(F.col("result_id").isNotNull()).groupBy("conv", F.col("result_id").alias("call_id")).agg(F.min("turn").alias("result_turn"), F.count(F.lit(1)).alias("n_results"))
     each = each.join(results, ["conv", "call_id"], "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
     return each.join(levels(each.where(~F.col("duplicate"))), ["conv", "call_id"], "left").drop("depends_on")
@@ -133,7 +140,8 @@ def link(parsed: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame
 def levels(calls: DataFrame) -> DataFrame:
     """conv, call_id, level: rounds of the topological order; calls in or behind a cycle stay out.
 
-    What is left after ROUNDS rounds are deep chains: they are followed conversation by conversation, each in one task.
+    After ROUNDS rounds, conversations with at most FOLLOWED dependencies left are followed whole, each in one task; in
+    larger ones the rounds go on until no call is ready.
     """
     nodes = calls.select("conv", "call_id").where(F.col("call_id").isNotNull()).distinct()
     edges = calls.select("conv", "call_id", F.explode(F.array_distinct("depends_on")).alias("before")).join(nodes.withColumnRenamed("call_id", "before"), ["conv", "before"])
@@ -141,17 +149,27 @@ def levels(calls: DataFrame) -> DataFrame:
     waiting = edges.select("conv", "call_id").distinct()
     done = checkpoint(nodes.join(waiting, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)))
     left, depth = checkpoint(waiting), 0
-    while depth < ROUNDS and not left.isEmpty():
+    while not left.isEmpty():
+        if depth == ROUNDS:
+            inner = edges.join(left, ["conv", "call_id"], "left_semi").join(left.withColumnRenamed("call_id", "before"), ["conv", "before"], "left_semi")
+            large = checkpoint(inner.groupBy("conv").count().where(F.col("count") > FOLLOWED).select("conv"))
+            small = left.join(large, "conv", "left_anti")
+            done = done.union(checkpoint(followed(inner.join(large, "conv", "left_anti"), small, depth + 1)))
+            left = checkpoint(left.join(large, "conv", "left_semi"))
         depth += 1
         open_ = edges.join(left.withColumnRenamed("call_id", "before"), ["conv", "before"], "left_semi").select("conv", "call_id").distinct()
         ready = checkpoint(left.join(open_, ["conv", "call_id"], "left_anti"))
         if ready.isEmpty():
-            return done
+            break
         done = done.union(ready.withColumn("level", F.lit(depth)))
+        if depth % ROUNDS == 0:
+            done = checkpoint(done)
         left = checkpoint(left.join(ready, ["conv", "call_id"], "left_anti"))
-    if left.isEmpty():
-        return done
-    first = depth + 1
+    return done
+
+
+def followed(inner: DataFrame, left: DataFrame, first: int) -> DataFrame:
+    """conv, call_id, level of the calls `left` from level `first` on, conversation by conversation; inner: the dependencies among them."""
 
     def follow(group: pd.DataFrame) -> pd.DataFrame:
         behind, waits, level = {}, {}, {}
@@ -171,9 +189,8 @@ def levels(calls: DataFrame) -> DataFrame:
             ready, at = following, at + 1
         return pd.DataFrame({"conv": group["conv"].iloc[0], "call_id": list(level), "level": list(level.values())})
 
-    inner = edges.join(left, ["conv", "call_id"], "left_semi").join(left.withColumnRenamed("call_id", "before"), ["conv", "before"], "left_semi")
     rest = inner.select("conv", "call_id", "before").union(left.select("conv", "call_id", F.lit(None).cast("string").alias("before")))
-    return done.union(rest.groupBy("conv").applyInPandas(follow, "conv string, call_id string, level int"))
+    return rest.groupBy("conv").applyInPandas(follow, "conv string, call_id string, level int")
 
 
 def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -189,11 +206,11 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None)
     both = parsed.join(of_turn, "row", "left").join(called, ["conv", "result_id"], "left")
     # A result that comes before its call goes right behind it.
     both = both.withColumns({"key": F.greatest("turn", "call_turn"), "late": F.coalesce(F.col("call_turn") >= F.col("turn"), F.lit(False)).cast("int")})
-    position = F.row_number().over(W.partitionBy("conv_id").orderBy("key", "late", "turn", "role", "text")) - 1
+    placed = placed_within(both, ["conv"], ["key", "late", "turn", "role", "text"], "position")
     plain = F.to_json(F.struct(F.when(F.col("result_id").isNotNull(), F.col("result")).otherwise(F.col("text")).alias("content"), "role", F.col("result_id").alias("tool_call_id")))
     with_calls = F.pandas_udf(_with_calls, T.StringType())(F.when(F.size("calls") > 0, F.col("text")), "content", "tool_calls")
-    return both.select(
-        "conv_id", position.cast("long").alias("position"), "turn", "role", F.when(F.size("calls") > 0, with_calls).otherwise(plain).alias("message"),
+    return placed.select(
+        "conv_id", "position", "turn", "role", F.when(F.size("calls") > 0, with_calls).otherwise(plain).alias("message"),
         F.coalesce("call_ids", F.array().cast("array<string>")).alias("call_ids"), F.when(F.col("result_id").isNotNull(), F.col("call_turn").isNotNull()).alias("linked"), F.coalesce("n_errors", F.lit(0)).cast("long").alias("n_errors"),
         F.when(F.size("calls") > 0, F.size("calls")).otherwise(0).cast("long").alias("n_calls"),
     )

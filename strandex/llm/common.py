@@ -88,3 +88,17 @@ def numbered(df: DataFrame, by: list[str], sums: dict[str, str]) -> DataFrame:
     totals = totals.select("part", *[F.coalesce(F.sum(n).over(before), zero).alias(f"{n} before") for n in names])
     both = own.join(F.broadcast(totals), "part")
     return both.select(*df.columns, *[(F.col(n) + F.col(f"{n} before")).alias(n) for n in names])
+
+
+def placed_within(df: DataFrame, group: list[str], by: list[str], name: str) -> DataFrame:
+    """df with the place of each row in its group (columns that are never null), from 0 in the order of `by`.
+
+    Rows are sorted in ranges, so a large group lies in many tasks.  Each range continues one group at most that began
+    before it: only for these is what lies ahead handed on.
+    """
+    parts = stored(df.repartitionByRange(*group, *by).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("part", *group).agg(F.count(F.lit(1)).alias("c"))
+    ahead = F.sum("c").over(W.partitionBy(*group).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    begun = counts.withColumn("ahead", ahead).where("ahead > 0").select("part", *group, "ahead")
+    own = F.row_number().over(W.partitionBy("part", *group).orderBy(*by)) - 1
+    return parts.withColumn("own", own).join(F.broadcast(begun), ["part", *group], "left").withColumn(name, (F.col("own") + F.coalesce("ahead", F.lit(0))).cast("long")).drop("part", "own", "ahead")

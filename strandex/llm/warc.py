@@ -66,23 +66,23 @@ def records(named: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
-    """Writes a record for each row of pages(page_id, url, html) as gzip-compressed WARC files under path."""
+    """Writes a record for each row of pages(page_id, url, html, ...) as gzip-compressed WARC files under path."""
     named = stored(digests(pages), "digests")
     wanted = stored(records(named, min_bytes).select("page_id", "key", "record_type", "header", "http"), "headers")
+    # A page_id that occurs once names its payload; only where one occurs twice are the payloads' digests taken again.
+    alone = named.groupBy("page_id").count().where("count > 1").limit(1).isEmpty()
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id")
     body = F.coalesce(F.col("html"), F.lit(""))
-    held = pages.select("page_id", body.alias("body"), F.sha2(body, 256).alias("key"))
+    bodies = pages.select(name, body.alias("body"), (F.lit("") if alone else F.sha2(body, 256)).alias("key"))
     # Rows equal in page_id, key and header meet once each: the headers are made distinct with their number.
     wanted = wanted.groupBy("page_id", "key", "record_type", "header", "http").count()
-    answers = wanted.where("record_type = 'response'").withColumn("id", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    bodies = held.withColumn("id", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    answers = wanted.where("record_type = 'response'").select(name, (F.lit("") if alone else F.col("key")).alias("key"), "header", "http", "count")
     one = bodies.join(answers.select("id", "key"), ["id", "key"], "left_semi")
-    plain = answers.where("count > 1").limit(1).isEmpty()
-    one = one if plain else one.dropDuplicates(["id", "key"])
-    full = answers.join(one.select("id", "key", "body"), ["id", "key"])
+    full = answers.join(one if alone else one.dropDuplicates(["id", "key"]), ["id", "key"])
     value = F.concat(F.col("header"), F.lit(SEPARATOR), F.col("http"), F.col("body"))
     full = full.select(value.alias("value"), "count")
     again = wanted.where("record_type = 'revisit'").select(F.concat(F.col("header"), F.lit(SEPARATOR)).alias("value"), "count")
-    if not plain:
+    if not alone:
         full = full.select("value", F.explode(F.array_repeat(F.lit(1), F.col("count").cast("int")))).select("value")
     again = again.select("value", F.explode(F.array_repeat(F.lit(1), F.col("count").cast("int")))).select("value")
     full.select("value").union(again).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
@@ -125,17 +125,18 @@ def field(name: str, pattern: str = r"[^\r\n]*"):
 
 
 def content_store(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """headers (header, key) and payloads (key, payload), each payload once and held against its digests and length."""
+    """headers (header, key) and payloads (key, payload, sha1), each payload once and held against its digests and length."""
     headers = parsed.select("header", field("X-Payload-SHA256").alias("key"))
-    full = parsed.where(F.col("payload").isNotNull()).select("header", "payload", field("X-Payload-SHA256").alias("key"))
-    same = (F.sha2("payload", 256) == F.col("key")) & (F.octet_length("payload") == field("X-Payload-Length").cast("int")) & (base32_of_hex(F.sha1(F.encode("payload", "UTF-8"))) == field("WARC-Payload-Digest", "sha1:.*").substr(6, 32))
-    checked = full.select("key", F.when(same, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), "header"))).alias("payload"))
-    return headers, checked.groupBy("key").agg(F.first("payload").alias("payload"))
+    full = parsed.where(F.col("payload").isNotNull()).select("header", "payload", field("X-Payload-SHA256").alias("key"), F.sha1(F.encode("payload", "UTF-8")).alias("x"))
+    full = full.withColumn("sha1", base32_of_hex(F.col("x")))
+    same = (F.sha2("payload", 256) == F.col("key")) & (F.octet_length("payload") == field("X-Payload-Length").cast("int")) & (F.col("sha1") == field("WARC-Payload-Digest", "sha1:.*").substr(6, 32))
+    checked = full.select("key", "sha1", F.when(same, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), "header"))).alias("payload"))
+    return headers, checked.groupBy("key").agg(F.first("payload").alias("payload"), F.first("sha1").alias("sha1"))
 
 
 def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """page_id, url, header and payload of each original record."""
-    row = headers.join(payloads, "key", "left")
+    row = headers.join(payloads.select("key", "payload"), "key", "left")
     return row.select(F.regexp_extract("header", r"(?m)^WARC-Record-ID: <urn:page:(-?\d+)>", 1).try_cast("long").alias("page_id"), field("WARC-Target-URI").alias("url"), "header", "payload")
 
 
@@ -143,8 +144,8 @@ def query(spark, sf_dir) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     headers, payloads = content_store(read_archive(spark, path))
-    # What the result needs of a payload: its length and digest, taken from the bytes that came back.
-    seen = payloads.select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1(F.encode("payload", "UTF-8"))).alias("payload_digest"))
+    # What the result needs of a payload: its length and digest, taken from the bytes that came back and checked.
+    seen = payloads.select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("sha1").alias("payload_digest"))
     row = stored(headers, "record-headers").join(stored(seen, "payloads"), "key", "left")
     name = lambda f: F.regexp_extract("header", rf"(?m)^{f}: <urn:page:(-?\d+)>", 1).try_cast("long")
     return row.select(name("WARC-Record-ID").alias("page_id"), "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), name("WARC-Refers-To").alias("refers_to"))

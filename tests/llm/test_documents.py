@@ -300,6 +300,45 @@ def test_remaining_links_are_all_similar_pairs(spark, piece, frequent, monkeypat
     assert got == {(i, j) for i, a in rows for j, b in rows if i < j and a and b and j > 2 and jaccard(a, b) >= 0.8}
 
 
+def test_simhash_query_against_all_pairs(spark):
+    docs = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    prints = [fingerprint_by_hand(t) for _, t in docs]
+    f = np.array(prints, np.uint64)
+    label = np.arange(len(f))
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 4
+    while True:
+        low = np.where(near, label[None, :], len(f)).min(1)
+        if (low == label).all():
+            break
+        label = low
+    least = {}
+    for (i, _), k in zip(docs, label.tolist(), strict=True):
+        least[k] = min(i, least.get(k, i))
+    want = sorted((i, f"{p:016x}", least[k]) for (i, _), p, k in zip(docs, prints, label.tolist(), strict=True))
+    assert sorted(map(tuple, simhash.query(spark, "/root/testdata/sf0.01").collect())) == want
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_component_ids_by_broadcast_or_by_salt(spark, limit, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_ROOTS", limit)
+    rows = [(i, (1 << (i % 40)) if i < 200 else -1 << 40) for i in range(210)] + [(None, 1 << 50), (None, 7 << 20)]
+    got = simhash.with_component(spark.createDataFrame(rows, "doc_id long, fp long"))
+    for r in got.collect():  # bits set alone are two apart
+        assert r["component_id"] == (0 if r["doc_id"] is None or r["doc_id"] < 200 else 200)
+
+
+def test_long_runs_are_put_together_once():
+    import pyarrow as pa
+
+    k = np.repeat(np.arange(6), [1, 5000, 1, 2, 3000, 4])
+    v = np.arange(len(k))
+    batches = [pa.RecordBatch.from_arrays([pa.array(k[i : i + 700]), pa.array(v[i : i + 700])], ["k", "v"]) for i in range(0, len(k), 700)]
+    out = list(simhash._whole_runs(iter([batches[0].slice(0, 0), *batches])))
+    assert np.concatenate([c[1] for c in out]).tolist() == v.tolist()
+    ends = [c[0][-1] for c in out]
+    assert len(set(ends)) == len(ends) and all(a[0][-1] < b[0][0] for a, b in zip(out[:-1], out[1:], strict=True))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).selectExpr("id AS u", "id + 1 AS v").union(spark.range(1).selectExpr("500L AS u", "501L AS v"))
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import json
+import random
 import time
 from collections import Counter
 
 import pytest
+from pyspark.sql.functions import lit
 
 from strandex.llm import chat, html_text, warc
 
@@ -159,14 +161,71 @@ def test_chat_levels_deep_chains(spark, monkeypatch):
     assert {r["call_id"]: r["level"] for r in got} == {**{f"k{i}": i for i in range(1200)}, "x": None, "y": None}
 
 
+def test_chat_levels_of_large_conversations_go_on_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(chat, "ROUNDS", 2)
+    monkeypatch.setattr(chat, "FOLLOWED", 4)
+    long = [{"id": f"k{i}", "name": "t", "arguments": "{}", "depends_on": [f"k{i - 1}"] if i else []} for i in range(9)]
+    short = long[:6]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": long})), (2, 0, "assistant", json.dumps({"tool_calls": short}))]
+    got = chat.link(chat.parse(turns(spark, rows))).collect()
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in got} == {**{(1, f"k{i}"): i for i in range(9)}, **{(2, f"k{i}"): i for i in range(6)}}
+
+
+def linked_by_hand(rows):
+    """conv_id, call_id, turn, place -> duplicate, level, number of results."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        calls = [(r[1], k, c) for r in own if r[2] == "assistant" and r[3].startswith("{") for k, c in enumerate(json.loads(r[3])["tool_calls"])]
+        first, level = {}, {}
+        for turn, k, c in calls:
+            first.setdefault(c["id"], (turn, k, c))
+        results = Counter(json.loads(r[3])["tool_call_id"] for r in own if r[2] == "tool")
+        changed = True
+        while changed:
+            changed = False
+            for i, (_, _, c) in first.items():
+                before = [x for x in c["depends_on"] if x in first]
+                if i not in level and all(x in level for x in before):
+                    level[i], changed = max([level[x] + 1 for x in before], default=0), True
+        for turn, k, c in calls:
+            out[conv, c["id"], turn, k] = (first[c["id"]][:2] != (turn, k), level.get(c["id"]), results[c["id"]])
+    return out
+
+
+def test_linking_against_a_linker_by_hand(spark):
+    rng = random.Random(4)
+    rows = []
+    for conv in [None, *range(1500)]:
+        for turn in range(rng.randint(1, 40 if conv is None else 6)):
+            kind = rng.random()
+            ids = [f"c{rng.randint(0, 9)}" for _ in range(rng.randint(1, 4))]
+            if kind < 0.5:
+                calls = [{"id": i, "name": "t", "arguments": "{}", "depends_on": [f"c{rng.randint(0, 9)}" for _ in range(rng.randint(0, 2))]} for i in ids]
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": calls})))
+            elif kind < 0.8:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": ids[0], "content": "x"})))
+            else:
+                rows.append((conv, turn, "user", "plain"))
+    df = turns(spark, rows).repartition(5)
+    got = {(r["conv_id"], r["call_id"], r["turn"], r["place"]): (r["duplicate"], r["level"], r["n_results"]) for r in chat.link(chat.parse(df)).collect()}
+    assert got == linked_by_hand(rows)
+    places = {}
+    for r in chat.format_messages(df).collect():
+        places.setdefault(r["conv_id"], []).append(r["position"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and sum(map(len, places.values())) == len(rows)
+
+
 @pytest.mark.parametrize(("value", "schema", "n"), [(1.0, {"type": "integer"}, 0), (True, {"type": "integer"}, 1), ("abc", {"type": ["string", "null"], "maxLength": 2}, 1), ([1, "a"], {"items": {"type": "number"}}, 1), ({"a": {"b": 1}}, {"properties": {"a": {"required": ["c"]}}}, 1), (3, {"enum": [1, 2]}, 1)])
 def test_schema_faults(value, schema, n):
     assert len(chat.faults(value, schema)) == n
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("alone", [False, True])
+def test_warc_round_trip(spark, tmp_path, alone):
     bodies = ["<p>a</p>", "b\r\n", "\r\n\r\n", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\nx", "é漢" * 500, "", None, "<p>a</p>", "x" * 100_000, "\r\n\r\nWARC/1.1"]
     rows = [(10 - i, f"http://h/{i}", b) for i, b in enumerate(bodies)] + [(100, None, "b\r\n"), (None, "u", "b\r\n"), (None, None, "alone"), (7, "http://h/3", bodies[3])]
+    rows = [r for k, r in enumerate(rows) if not alone or r[0] not in [x[0] for x in rows[:k]]]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = str(tmp_path / "w")
     warc.archive(df, path)
@@ -181,6 +240,10 @@ def test_warc_round_trip(spark, tmp_path):
         least = min((i for i, _, b in rows if (b or "") == r["payload"] and i is not None), default=None)
         assert ("WARC-Type: revisit" in r["header"]) == (least is not None and r["page_id"] != least)
     warc.archive(df.limit(0), str(tmp_path / "e"))
+    assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
+    extra = df.withColumns({n: lit("clash") for n in ("id", "key", "body", "header", "http", "n", "x", "count")})
+    warc.archive(extra, str(tmp_path / "x"))
+    assert sorted(r["header"] for r in warc.read_archive(spark, str(tmp_path / "x")).collect()) == sorted(r["header"] for r in records.collect())
     bad = records.withColumn("payload", records.payload.substr(2, 1000))
     with pytest.raises(Exception, match="differs from its digest"):
         warc.content_store(bad)[1].collect()

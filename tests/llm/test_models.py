@@ -1,5 +1,8 @@
 """Classifiers and search by held-out accuracy and recall; edge rows."""
 
+import math
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +89,68 @@ def test_ann_recall_and_edges(spark):
     assert ann.search(vectors.limit(0), vectors.limit(0), 20).count() == 0
 
 
+def test_ann_in_double_precision(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6)) * 10.0 ** rng.integers(-3, 4, (400, 1))
+    x[11] = [1e300, -1e300, 1e299, 3e300, 1.0, 0.0]
+    x[12] = x[13] = [1e-300] * 6
+    x[20] = np.nextafter(x[21], 9)  # alike in single precision
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert vectors.count() == 400
+    got = {}
+    for r in ann.search(vectors, vectors.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = []
+    for q in range(0, 400, 20):
+        exact = np.array([math.fsum(x[q] * v) for v in x])
+        want = [i for i in np.lexsort((np.arange(400), -exact)) if i != q][:20]
+        assert all(math.isclose(s, exact[v], rel_tol=1e-9, abs_tol=1e-300) for _, v, s in got[q])
+        hit.append(len({v for _, v, _ in got[q]} & set(want)) / 20)
+    assert np.mean(hit) >= 0.9
+
+
+def test_ann_query_against_all_pairs(spark):
+    got = ann.query(spark, D).collect()
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{D}/embeddings.parquet").collect())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    found, want = {}, {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert math.isclose(r["score"], score[np.searchsorted(ids, r["query_id"]), np.searchsorted(ids, r["vec_id"])], rel_tol=1e-9)
+    for q in np.flatnonzero(ids % 20 == 0):
+        want[ids[q]] = set(ids[np.lexsort((ids, -score[q]))[:20]].tolist())
+    assert found.keys() == want.keys() and np.mean([len(found[q] & want[q]) / 20 for q in want]) >= 0.95
+
+
+def test_language_query(spark):
+    got = {r["doc_id"]: r for r in language_id.query(spark, D).collect()}
+    docs = spark.read.parquet(f"{D}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    held = [r for r in docs if got[r["doc_id"]]["held_out"]]
+    assert {r["doc_id"] for r in held} == {r["doc_id"] for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0}
+    assert np.mean([got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held if r["lang"]]) > 0.95
+
+
+def test_language_of_equal_and_tied_rows(spark):
+    rows = [(i, "abc abc" if i % 2 else "xyz xyz", "b" if i % 2 else "a") for i in range(40)] + [(99, "abc abc", None), (99, "abc abc", None), (100, "123 ...", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.predict(df, language_id.fit(df)).collect()
+    assert {(r["doc_id"], r["lang_pred"]) for r in got if r["doc_id"] >= 99} == {(99, "b"), (100, "und")} and len(got) == len(rows)
+    same = spark.createDataFrame([(i, "abc", "b" if i % 2 else "a") for i in range(40)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.predict(same, language_id.fit(same)).collect()} == {"a"}  # of equal cosines the smaller name
+
+
+def test_toxicity_query(spark):
+    got = {r["doc_id"]: r for r in toxicity.query(spark, D).collect()}
+    labels = spark.read.parquet(f"{D}/labels.parquet").collect()
+    assert {i for i, r in got.items() if r["held_out"]} == {i for i in got if zlib.crc32(str(i).encode()) % 4 == 2}
+    held = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in labels if r["doc_id"] in got and got[r["doc_id"]]["held_out"]]
+    assert np.mean([p == t for p, t in held]) > 0.9
+
+
 @pytest.mark.parametrize("n", [1, 5, 50])
 def test_top_takes_the_smaller_of_ties(n):
     score = np.array([[1, 3, 3, 2, 3, 0, 1], [0, 0, 0, 0, 0, 0, 0]], np.float32)

@@ -1,12 +1,16 @@
 """Queries of the training-data operators and the pipeline at small scale."""
 
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from strandex.llm import queries, simhash
+from strandex.llm import mixing, queries, simhash
+
+from .test_documents import lowered
 
 D = "/root/testdata/sf0.01"
 
@@ -33,31 +37,104 @@ def test_sql(spark, con, name):
     assert sorted(tuple(plain(r[n]) for n in names) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in want)
 
 
-def test_pipeline(spark):
+def near_copies_gone(rows):
+    """(doc_id, text) that stay: the smallest doc_id of each class of texts linked by a Jaccard similarity of 0.8."""
+    sets = [set(five_words(t)) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = sets[i], sets[j]
+            if 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    least = {}
+    for i, (d, t) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), (d, t)), (d, t))
+    return sorted(least.values())
+
+
+def five_words(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [()]
+
+
+def with_items_windows(rows, items, window=10):
+    """doc_ids of texts in which ten words in a row (or all of a shorter item) of an item occur."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
+    known = {tuple(w[i : i + window]) for w in (words(t) for t in items) if w for i in range(max(1, len(w) - window + 1))}
+    sizes = {len(x) for x in known}
+    return {d for d, t in rows for w in [words(t)] if any(tuple(w[i : i + n]) in known for n in sizes for i in range(len(w) - n + 1))}
+
+
+def passages_cut(rows, width=100):
+    """Texts without the bytes of strings that start earlier, and without characters cut by that."""
+    seen, out = {}, []
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone = [False] * len(b)
+        for p in range(len(b) - width + 1):
+            if seen.setdefault(b[p : p + width], (i, p)) != (i, p):
+                gone[p : p + width] = [True] * width
+        at, kept = 0, []
+        for c in t:
+            n = len(c.encode())
+            if not any(gone[at : at + n]):
+                kept.append(c)
+            at += n
+        out.append((i, "".join(kept)))
+    return out
+
+
+def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, D)
-        docs = corpus_pipeline.stored(out, "test")
-        kept[name] = docs
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        docs = corpus_pipeline.stored(stage(spark, docs, D), "test")
+        after = kept[name] = docs.collect()
         if name != "mixing":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    n = [kept[k].count() for k, _ in corpus_pipeline.STAGES[:-1]]
-    assert n[0] > n[1] == n[2] > n[3] > 0.8 * n[0]
-    near = kept["simhash_near_dedup"]
-    assert near.select("text").distinct().count() == n[1]
+            assert docs.columns == names
+            assert all(r["n_chars"] == len(r["text"]) for r in after)
+            got = sorted((r["doc_id"], r["text"]) for r in after)
+        if name == "simhash_near_dedup":
+            assert got == near_copies_gone(sorted(before.items()))
+        if name == "suffix_array_dedup":
+            assert got == passages_cut(before.items())
+        if name == "decontamination":
+            hit = with_items_windows(before.items(), [r["text"] for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()])
+            assert hit and got == sorted((i, t) for i, t in before.items() if i not in hit)
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
+    n_docs = spark.read.parquet(f"{D}/documents.parquet").count()
+    stay = {r["doc_id"] for r in kept["toxicity"]}
+    assert sum(labels.get(i) == 1 for i in stay) <= 0.1 * sum(labels.values()) and len(stay) > 0.85 * n_docs
     mixed = kept["mixing"]
-    assert mixed.where("copy > copies").count() == 0
-    totals = mixed.groupBy("source").agg({"size": "sum", "target": "max"}).collect()
-    assert all(abs(r["sum(size)"] - r["max(target)"]) <= 0.35 * r["max(target)"] for r in totals)
+    words, target, most = Counter(), {}, Counter()
+    for r in mixed:
+        words[r["source"]] += r["size"]
+        target[r["source"]] = r["target"]
+        most[r["source"]] = max(most[r["source"]], r["size"])
+        assert 1 <= r["copy"] <= r["copies"] <= 3
+    assert all(abs(words[s] - target[s]) <= most[s] for s in target)
 
 
-def test_stages_take_edge_rows(spark, edges, nothing, tmp_path):
+def test_stages_take_edge_rows(spark, edges, nothing, clashing, tmp_path):
     spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").withColumn("quality", simhash.F.lit(0)).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "one two three"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for docs in (edges, nothing, edges.withColumn("extra", simhash.F.lit(1)).withColumn("h", simhash.F.lit(2))):
+    empty = edges.withColumn("text", simhash.F.lit(None).cast("string"))
+    for docs in (edges.union(edges), nothing, clashing, empty):
+        n = docs.count()
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
-            if name != "mixing":
+            if name == "mixing":
+                own = [*mixing.RESULT, "copy"]
+                assert sorted(out.columns) == sorted({*docs.columns, *own} - {"taken"}) and len(set(out.columns)) == len(out.columns)
+            else:
                 assert out.columns == docs.columns
-            assert out.count() <= 3 * docs.count()
+            assert out.count() <= 3 * n
