@@ -172,6 +172,12 @@ def _source(table: str, key: str, column: str) -> str:
     return f"t AS (SELECT {key} AS doc_id, hex(encode({column})) AS h, strlen({column}) AS n FROM {table})"
 
 
+def _pieces(table: str, key: str, name: str, rest: int) -> str:
+    """Rows (key, pos, head): the PASSAGE bytes from each place that has `rest` more behind it; texts are cut into pieces first, as substr counts from the start."""
+    return f"""{name} AS (SELECT {key}, base + i AS pos, substr(w, 2 * i + 1, {2 * PASSAGE}) AS head FROM (SELECT {key}, base, w, unnest(range(least(256, n - {rest} - base))) AS i
+  FROM (SELECT {key}, n, base, substr(h, 2 * base + 1, {2 * (256 + PASSAGE)}) AS w FROM (SELECT {key}, h, n, unnest(range(0, n - {rest}, 256)) AS base FROM {table} WHERE n > {rest}))))"""
+
+
 _SFX = """,
 s AS (SELECT doc_id, h, n, unnest(range(n)) AS pos FROM t),
 sa AS (SELECT doc_id, h, n, pos, substr(h, 2 * pos + 1) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY substr(h, 2 * pos + 1)) - 1 AS rank FROM s)"""
@@ -222,7 +228,7 @@ ORACLE_SQL = {
     "byte_buckets": f"WITH {_ITEMS}, e AS (SELECT doc_id, substr(h, 2 * i + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(n)) AS i FROM t)), c AS (SELECT doc_id, ('0x' || x)::INT AS byte, count(*) AS n FROM e GROUP BY ALL) SELECT doc_id, byte, n, (sum(n) OVER w - n)::BIGINT AS first, (sum(n) OVER w)::BIGINT AS last FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY byte)",
     "index_size": f"WITH {_ITEMS} SELECT doc_id, n::BIGINT AS entries, (13 * n)::BIGINT AS nbytes, 104.0::DOUBLE AS bits_per_entry FROM t WHERE n > 0",
     "document_index": "SELECT doc_id, strlen(text)::BIGINT AS n, (strlen(text)::BIGINT * (strlen(text) - 1) // 2)::BIGINT AS pos_sum FROM documents WHERE strlen(text) > 0",
-    "document_order": f"WITH {_source('documents', 'doc_id', 'text')}, s AS (SELECT doc_id, substr(h, 2 * pos + 1, {2 * PASSAGE}) AS head, pos FROM (SELECT doc_id, h, unnest(range(n)) AS pos FROM t)), g AS (SELECT doc_id, head, count(*) AS c, sum(pos) AS places FROM s GROUP BY ALL), b AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY head) - c AS base FROM g) SELECT doc_id, count(*) AS heads, sum(base * places)::BIGINT AS order_sum FROM b GROUP BY doc_id",
+    "document_order": f"WITH {_source('documents', 'doc_id', 'text')}, {_pieces('t', 'doc_id', 's', 0)}, g AS (SELECT doc_id, head, count(*) AS c, sum(pos) AS places FROM s GROUP BY ALL), b AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY head) - c AS base FROM g) SELECT doc_id, count(*) AS heads, sum(base * places)::BIGINT AS order_sum FROM b GROUP BY doc_id",
     "document_integrity": "SELECT NULL::BIGINT AS doc_id, NULL::INT AS rank, NULL::VARCHAR AS \"check\" WHERE false",
     "doubled": "SELECT p_partkey AS doc_id, hex(encode(p_name || p_name)) AS text FROM part",
     "reversed": f"WITH {_NAMES_T} SELECT doc_id, coalesce((SELECT string_agg(substr(h, 2 * k + 1, 2), '' ORDER BY k DESC) FROM unnest(range(n)) AS r(k)), '') AS text FROM t",
@@ -261,9 +267,8 @@ ORACLE_SQL = {
     "lcs": f"{_PAIRS}{_GRAMS}, m AS (SELECT pair_id, v, max(length(v)) OVER (PARTITION BY pair_id) AS m FROM ga JOIN gb USING (pair_id, v)) SELECT p.pair_id, coalesce(min(v), '') AS result FROM p LEFT JOIN m ON m.pair_id = p.pair_id AND length(v) = m GROUP BY p.pair_id",
     "mum": f"{_PAIRS}{_GRAMS} SELECT p.pair_id, row_number() OVER (PARTITION BY p.pair_id ORDER BY ga.v) - 1 AS ord, ga.v AS substring FROM p JOIN ga USING (pair_id) JOIN gb ON gb.pair_id = ga.pair_id AND gb.v = ga.v WHERE ga.c = 1 AND gb.c = 1 AND (ga.i = 0 OR gb.i = 0 OR substr(a, 2 * ga.i - 1, 2) <> substr(b, 2 * gb.i - 1, 2)) AND (2 * ga.i + length(ga.v) = length(a) OR 2 * gb.i + length(gb.v) = length(b) OR substr(a, 2 * ga.i + length(ga.v) + 1, 2) <> substr(b, 2 * gb.i + length(gb.v) + 1, 2))",
     "shared_passage": f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents), b AS (SELECT item_id, hex(encode(text)) AS h, strlen(text) AS n FROM benchmark),
-dg AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * PASSAGE}) AS g FROM (SELECT doc_id, h, unnest(range(n - {PASSAGE} + 1)) AS i FROM d WHERE n >= {PASSAGE})),
-bg AS (SELECT item_id, i, substr(h, 2 * i + 1, {2 * PASSAGE}) AS g FROM (SELECT item_id, h, unnest(range(n - {PASSAGE} + 1)) AS i FROM b WHERE n >= {PASSAGE})),
-m AS (SELECT doc_id, item_id, dg.i AS i, dg.i - bg.i AS line FROM dg JOIN bg USING (g)), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, line ORDER BY i) AS run FROM m)
+{_pieces('d', 'doc_id', 'dg', PASSAGE - 1)}, {_pieces('b', 'item_id', 'bg', PASSAGE - 1)},
+m AS (SELECT doc_id, item_id, dg.pos AS i, dg.pos - bg.pos AS line FROM dg JOIN bg USING (head)), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, line ORDER BY i) AS run FROM m)
 SELECT doc_id, item_id, (max(c) + {PASSAGE} - 1)::INT AS size FROM (SELECT doc_id, item_id, line, run, count(*) AS c FROM r GROUP BY ALL) GROUP BY doc_id, item_id""",
     "palindrome": f"WITH {_ITEMS}, u AS (SELECT doc_id, n, list_reduce(list_prepend('', [substr(h, 2 * k + 1, 2) FOR k IN range(n)]), lambda x, y: y || x) AS r, h FROM t), s AS (SELECT doc_id, h, r, n, i, unnest(range(1, n - i + 1)) AS l FROM (SELECT *, unnest(range(n)) AS i FROM u)), q AS (SELECT doc_id, l, substr(h, 2 * i + 1, 2 * l) AS v FROM s WHERE substr(h, 2 * i + 1, 2 * l) = substr(r, 2 * (n - i - l) + 1, 2 * l)) SELECT doc_id, min(v) AS result FROM (SELECT *, max(l) OVER (PARTITION BY doc_id) AS m FROM q) WHERE l = m GROUP BY doc_id",
     "lcs_with_reverse": f"WITH {_NAMES_T}, u AS (SELECT doc_id, n, h, list_reduce(list_prepend('', [substr(h, 2 * k + 1, 2) FOR k IN range(n)]), lambda x, y: y || x) AS r FROM t), s AS (SELECT doc_id, r, i, l, substr(h, 2 * i + 1, 2 * l) AS v, n FROM (SELECT *, unnest(range(1, n - i + 1)) AS l FROM (SELECT *, unnest(range(n)) AS i FROM u))), q AS (SELECT doc_id, l, v FROM s WHERE len(list_filter(range(n - l + 1), lambda k: substr(r, 2 * k + 1, 2 * l) = v)) > 0) SELECT doc_id, min(v) AS result FROM (SELECT *, max(l) OVER (PARTITION BY doc_id) AS m FROM q) WHERE l = m GROUP BY doc_id",
