@@ -12,7 +12,7 @@ map over all whole texts.  The model is one vector of DIM numbers for each langu
 Edge cases: null text and text without letters give `und` and score 0; a null lang teaches nothing; without any
 language to learn from all is `und`; a null doc_id counts as held out; of equal cosines the language that sorts first is
 taken; equal texts are judged alike, each row for itself; a text of any length is read whole, its vector is as long as any;
-an empty table gives no rows; columns named lang_pred or score are replaced, others pass through.
+an empty table gives no rows; columns beside doc_id and text are not looked at when predicting.
 """
 
 from __future__ import annotations
