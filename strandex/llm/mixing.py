@@ -41,8 +41,7 @@ MOST = 3
 BUCKET_ROWS = 2000
 UNIT = 1 << 20
 PHASES = 16
-STEPS_A_JOB = 4
-MOST_JOBS = 60
+MOST_STEPS = 200
 BROADCAST_SOURCES = 100_000
 RESULT = ("size", "source_size", "target", "copies", "taken")
 _PRIME, _FACTOR = 2147483647, 48271  # a step of a Lehmer generator: spreads ids with a common stride
@@ -107,13 +106,11 @@ def multipliers(wanted: DataFrame, hist: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     state = checkpoint(between.select("key", "target", (F.col("source_size") / F.col("n")).alias("mean"), F.lit(0.0).alias("lam"), none.alias("lo"), none.alias("hi"), none.alias("miss"), F.lit(False).alias("done")))
     few = state.count() <= BROADCAST_SOURCES
-    for _ in range(MOST_JOBS):
+    for _ in range(MOST_STEPS):
         if state.where("not done").isEmpty():
             return state.select("key", "mean", "lam")
-        for _ in range(STEPS_A_JOB):
-            state = newton(state, hist, few)
-        state = checkpoint(state)
-    raise RuntimeError(f"the dual is not solved after {MOST_JOBS * STEPS_A_JOB} steps")
+        state = checkpoint(newton(state, hist, few))
+    raise RuntimeError(f"the dual is not solved after {MOST_STEPS} steps")
 
 
 def rates(sized: DataFrame) -> tuple[DataFrame, bool]:
@@ -131,8 +128,9 @@ def mix(docs: DataFrame, size=None) -> DataFrame:
     """docs (doc_id, source, text if no size is given, ...) with the columns RESULT; other columns stay."""
     names = [c for c in docs.columns if c not in RESULT]
     size = size_of(F.col("text")) if size is None else size
-    keyed = docs.select(F.struct("*").alias("row"), _key(F.col("source")).alias("key"), size.alias("size"), F.col("doc_id").cast("long").alias("doc_id"))
-    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+    # Written once with its size, which several jobs read without the texts.
+    keyed = stored(docs.select(F.struct("*").alias("row"), _key(F.col("source")).alias("key"), size.alias("size"), F.col("doc_id").cast("long").alias("doc_id")), "sized")
+    buckets = max(1, -(-keyed.count() // BUCKET_ROWS))
     known, few = rates(keyed.select("key", "size"))
     tilted = F.exp(F.least(F.col("lam") * (F.col("size") / F.col("mean")), F.lit(log(MOST))))
     digits = F.col("size").cast("string")
@@ -168,7 +166,7 @@ def mix(docs: DataFrame, size=None) -> DataFrame:
 
 
 def query(spark, sf_dir) -> DataFrame:
-    sized = stored(read(spark, sf_dir, "documents").select("doc_id", "source", size_of(F.col("text")).alias("words")), "sizes")
+    sized = read(spark, sf_dir, "documents").select("doc_id", "source", size_of(F.col("text")).alias("words"))
     return mix(sized, F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
