@@ -40,7 +40,10 @@ WIDE_LANES, WIDE_SHINGLE, WIDE_DISTANCE = 4, 5, 44
 FREQUENT_SAMPLE, FREQUENT_LEAST, FREQUENT_MOST = 5000, 5, 50_000
 BROADCAST_ROOTS = 1_000_000  # rows of two numbers
 SALTS = 32
-PIECE = 1 << 20
+SKETCH_MOST = 31  # of 64 bins
+GROUP_ROWS, GROUP_BYTES = 512, 4 << 20  # of a block of texts that are compared whole
+COLUMNS = 2048
+PIECE = 1 << 18
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -214,6 +217,20 @@ def _within(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ok
 
 
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the classes of i and j, pair by pair, in label: each member's smallest member."""
+    while True:
+        x, y = label[i], label[j]
+        open_ = x != y
+        if not open_.any():
+            return
+        i, j, low = i[open_], j[open_], np.minimum(x, y)[open_]
+        np.minimum.at(label, x[open_], low)
+        np.minimum.at(label, y[open_], low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def _labels(n: int, match) -> np.ndarray:
     """Smallest row that each of n rows reaches over match(i, j, k, l), the truth for rows [i, j) against rows [k, l)."""
     label = np.arange(n)
@@ -224,17 +241,7 @@ def _labels(n: int, match) -> np.ndarray:
                 continue  # joined already: their pairs add nothing
             i, j = np.nonzero(match(a, min(a + BLOCK, n), b, min(b + BLOCK, n)))
             i, j = i + a, j + b
-            i, j = i[i < j], j[i < j]
-            while True:
-                x, y = label[i], label[j]
-                open_ = x != y
-                if not open_.any():
-                    break
-                i, j, low = i[open_], j[open_], np.minimum(x, y)[open_]
-                np.minimum.at(label, x[open_], low)
-                np.minimum.at(label, y[open_], low)
-                while (label[label] != label).any():
-                    label = label[label]
+            _joined(label, i[i < j], j[i < j])
     return label
 
 
@@ -434,8 +441,41 @@ def frequent(texts: DataFrame, n: int) -> np.ndarray:
     return np.array([r["k"] for r in reversed(counted.collect())], np.int64).view(np.uint64)
 
 
+def sketches(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64 half bytes of each set, as rows of four uint64: of each bin of hashes (by their first bits) four bits of the smallest, 0 if there is none.
+
+    h: the sets' hashes in order, one set after the other.
+    """
+    row = np.repeat(np.arange(len(counts)), counts)
+    bin_ = (h >> np.uint64(58)).astype(np.int64)
+    first = np.append(True, (row[1:] != row[:-1]) | (bin_[1:] != bin_[:-1]))[: len(h)]
+    row, bin_ = row[first], bin_[first]
+    out = np.zeros((len(counts), 4), np.uint64)
+    part = ((h[first] >> np.uint64(20)) & np.uint64(15)) << (4 * (bin_ % 16)).astype(np.uint64)
+    np.bitwise_or.at(out, (row, bin_ // 16), part)
+    return out
+
+
+def unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bins two sketches differ, row by row."""
+    d = x ^ y
+    d |= d >> np.uint64(2)
+    d |= d >> np.uint64(1)
+    return np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(-1)
+
+
+def most_unlike(total: np.ndarray) -> np.ndarray:
+    """Bins in which the sketches of two similar sets with `total` members can differ.
+
+    A bin that differs holds a member of one set alone, of which there are total / 9 at most.  In large sets such members
+    share bins: at a similarity of 0.8 a bin differs with a chance of 3/16, so that more than SKETCH_MOST bins of 64 do by
+    a chance of less than one in a billion.
+    """
+    return np.minimum(total // 9, SKETCH_MOST)
+
+
 def with_prefix_keys(texts: DataFrame, last: np.ndarray) -> DataFrame:
-    """k, root, node, size, pos: the shingles of each text's prefix and their places; texts: node, root, text."""
+    """k, root, node, size, pos, s0..s3: the shingles of each text's prefix, their places, and the text's sketch; texts: node, root, text."""
     by_hash = np.argsort(last)
     ordered = last[by_hash]
 
@@ -447,6 +487,7 @@ def with_prefix_keys(texts: DataFrame, last: np.ndarray) -> DataFrame:
             raw, offsets = flat(b.column(2))
             for i, j in chunks(offsets):
                 h, n = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WIDE_SHINGLE)
+                sketch = sketches(h, n).view(np.int64)
                 row, late = np.repeat(np.arange(j - i), n), np.zeros(len(h), np.int64)
                 if len(ordered):
                     found = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
@@ -455,57 +496,126 @@ def with_prefix_keys(texts: DataFrame, last: np.ndarray) -> DataFrame:
                 pos = ranges(np.zeros(j - i, np.int64), n)
                 head = pos < np.repeat(n - (4 * n + 4) // 5 + 1, n)
                 h, row, pos = h[order][head], row[head], pos[head]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(root[i + row]), pa.array(node[i + row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["k", "root", "node", "size", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(root[i + row]), pa.array(node[i + row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(x) for x in sketch[row].T.copy())], ["k", "root", "node", "size", "pos", "s0", "s1", "s2", "s3"])
 
-    return texts.select("node", "root", "text").mapInArrow(run, "k long, root long, node long, size int, pos int")
+    return texts.select("node", "root", "text").mapInArrow(run, "k long, root long, node long, size int, pos int, s0 long, s1 long, s2 long, s3 long")
 
 
-def _prefix_pairs(batches):
-    """Rows (u, v, nu, nv) for each shingle that the prefixes of two nodes of different roots share; from rows (k, root, node, size, pos) sorted by k, root and node.
+def _loose_links(batches):
+    """Links (u, v) that join, of each run of k, the roots of which two nodes may be similar; from rows (k, root, node, size, pos, s0..s3) sorted by k, root and node.
 
-    What stands before the shingle and what follows it bound what the two sets share; rows beyond that bound are left out.
+    What stands before the shingle and what follows it bound what two sets share, and their sketches bound in how much they
+    differ.  Pairs are only looked at here; what leaves is a link a root at most.
     """
 
-    def pairs(c):
-        same = (c[0][1:] == c[0][:-1]) & (c[2][1:] == c[2][:-1])  # copies of one text
-        k, root, node, size, pos = (x[np.append(True, ~same)] for x in c)
+    def links(c):
+        edge = np.concatenate([[True], c[0][1:] != c[0][:-1], [True]])
+        copy = np.append(False, (c[0][1:] == c[0][:-1]) & (c[2][1:] == c[2][:-1]))
+        c = [x[~copy & ~(edge[1:] & edge[:-1])] for x in c]  # without copies of one text and runs of one row
+        k, root, node, size, pos = c[:5]
         n = len(k)
+        if not n:
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(node)], ["u", "v"])
+        sketch = np.stack(c[5:], 1).view(np.uint64)
         runs = np.append(np.flatnonzero(np.diff(k)) + 1, n)
-        groups = np.append(np.flatnonzero((np.diff(k) != 0) | (np.diff(root) != 0)) + 1, n)
+        new = np.append(True, (np.diff(k) != 0) | (np.diff(root) != 0))
+        groups = np.append(np.flatnonzero(new)[1:], n)
         rows = np.arange(n)
-        begin = groups[np.searchsorted(groups, rows, "right")]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        begin = groups[np.minimum(np.searchsorted(groups, rows, "right"), len(groups) - 1)]
         counts = runs[np.searchsorted(runs, rows, "right")] - begin
         total = np.cumsum(counts)
-        i = 0
+        label, i = rows.copy(), 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PIECE, "right")))
             a, b = np.repeat(rows[i:j], counts[i:j]), ranges(begin[i:j], counts[i:j])
-            shared = np.minimum(size[a] - pos[a], size[b] - pos[b]) + np.minimum(pos[a], pos[b])
-            ok = similar(shared, size[a] + size[b])
-            a, b = a[ok], b[ok]
-            if len(a):
-                turned = node[a] > node[b]
-                a, b = np.where(turned, b, a), np.where(turned, a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], size[a].astype(np.int32), size[b].astype(np.int32))], ["u", "v", "nu", "nv"])
+            for p in range(0, len(a), PIECE):
+                x, y = a[p : p + PIECE], b[p : p + PIECE]
+                apart = label[first[x]] != label[first[y]]
+                x, y = x[apart], y[apart]
+                shared = np.minimum(size[x] - pos[x], size[y] - pos[y]) + np.minimum(pos[x], pos[y])
+                ok = similar(shared, size[x] + size[y])
+                x, y = x[ok], y[ok]
+                ok = unlike(sketch[x], sketch[y]) <= most_unlike(size[x] + size[y])
+                _joined(label, first[x[ok]], first[y[ok]])
             i = j
+        moved = np.flatnonzero(label != rows)
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["u", "v"])
 
     for c in _whole_runs(batches):
-        yield from pairs(c)
+        yield links(c)
+
+
+def _similar_links(batches):
+    """Links (u, v) that join the nodes of different roots that are similar by their exact shingle sets; rows (task, root, node, text) sorted by task."""
+
+    def links(rows):
+        root, node = (np.concatenate([np.asarray(b.column(x)) for b in rows]) for x in (1, 2))
+        parts = [shingle_sets(*flat(b.column(3)), WIDE_SHINGLE) for b in rows]
+        h, n = (np.concatenate([p[x] for p in parts]) for x in (0, 1))
+        row = np.repeat(np.arange(len(n)), n)
+        _, at, often = np.unique(h, return_inverse=True, return_counts=True)
+        kept = often[at] > 1  # only shingles of several rows count
+        place = np.cumsum(often > 1) - 1
+        row, at = row[kept], place[at[kept]]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        overlap = np.zeros((len(n), len(n)), np.float32)
+        for low in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+            i, j = np.searchsorted(at, [low, low + COLUMNS])
+            some = np.zeros((len(n), COLUMNS), np.float32)
+            some[row[i:j], at[i:j] - low] = 1
+            overlap += some @ some.T
+        i, j = np.nonzero(np.triu(similar(overlap, n[:, None] + n[None, :]), 1) & (root[:, None] != root[None, :]))
+        label = np.arange(len(n))
+        _joined(label, i, j)
+        moved = np.flatnonzero(label != np.arange(len(n)))
+        # A class may be joined over several rows: each row links to one that it is similar to.
+        u, v = node[moved], node[label[moved]]
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        task = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[-1].column(0)[0].as_py() != task[i]:
+                yield links(held)
+                held = []
+            held.append(b.slice(i, j - i))
+    if held:
+        yield links(held)
 
 
 def remaining_links(texts: DataFrame, tree: DataFrame, n: int) -> DataFrame:
-    """Links (u, v) of all similar texts (node, text; n nodes) that the components `tree` (node, root) do not join yet.
+    """Links (u, v) that join all similar texts (node, text; n nodes) that the components `tree` (node, root) do not join yet.
 
-    Two sets share what their prefixes share and, beyond that, members that follow the prefix whose last member stands
-    first in the order.  By that bound most pairs that meet on a common passage only go before texts are compared.
+    Nodes that may be similar fall into loose groups; only links leave the kernels that find them, not pairs.  The texts of
+    a group meet whole, in blocks of at most GROUP_ROWS rows and GROUP_BYTES of text, each pair of blocks in a task of its own.
     """
-    tree = F.broadcast(tree) if tree.count() <= BROADCAST_ROOTS else tree
-    rooted = texts.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    small = F.broadcast(tree) if tree.count() <= BROADCAST_ROOTS else tree
+    rooted = texts.join(small, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keyed = with_prefix_keys(rooted, frequent(texts, n)).repartition("k").sortWithinPartitions("k", "root", "node")
-    met = keyed.mapInArrow(_prefix_pairs, "u long, v long, nu int, nv int").groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("c"))
-    behind = F.greatest(*(F.expr(f"(4 * {x} + 4) div 5") - 1 for x in ("nu", "nv")))
-    close = met.where(similar(F.col("c") + behind, F.col("nu") + F.col("nv")))
-    return verified(stored(close.select("u", "v"), "prefix-pairs"), texts)
+    loose = checkpoint(keyed.mapInArrow(_loose_links, "u long, v long").distinct())
+    if loose.isEmpty():
+        return loose
+    groups = components(loose.union(tree.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    ends = groups.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct()
+    member = groups.select("node", F.col("root").alias("group")).union(ends)
+    used = loose.select(F.col("u").alias("node")).join(member, "node").select("group").distinct()
+    member = checkpoint(member.join(used, "group", "left_semi").join(tree, "node", "left").select("node", "group", F.coalesce("root", "node").alias("root")))
+    held = F.broadcast(member) if member.count() <= BROADCAST_ROOTS else member
+    whole = stored(texts.join(held, "node").dropDuplicates(["node"]).select("node", "group", "root", "text"), "loose-groups")
+    sizes = whole.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum(F.octet_length("text")) / GROUP_BYTES)).cast("int").alias("blocks"))
+    sizes = checkpoint(sizes)
+    blocks = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROOTS else sizes
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks").cast("long")).cast("int")
+    dealt = whole.join(blocks, "group").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    task = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
+    met = dealt.select(task.alias("task"), "root", "node", "text").repartition("task").sortWithinPartitions("task", "node")
+    return met.mapInArrow(_similar_links, "u long, v long").distinct()
 
 
 def survivors(docs: DataFrame) -> DataFrame:
