@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -36,9 +37,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs whose frames are gone, before the next large step writes its own."""
+    """Lets Spark drop the shuffle files and plans of jobs whose frames are gone, and gives the driver's unused memory back."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, numbered, read, stored
+from .common import checkpoint, numbered, read, release, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -132,6 +132,7 @@ def mix(docs: DataFrame, size=None) -> DataFrame:
     keyed = stored(docs.select(F.struct("*").alias("row"), _key(F.col("source")).alias("key"), size.alias("size"), F.col("doc_id").cast("long").alias("doc_id")), "sized")
     buckets = max(1, -(-keyed.count() // BUCKET_ROWS))
     known, few = rates(keyed.select("key", "size"))
+    release(docs.sparkSession)
     tilted = F.exp(F.least(F.col("lam") * (F.col("size") / F.col("mean")), F.lit(log(MOST))))
     digits = F.col("size").cast("string")
     step = F.pmod(F.coalesce("doc_id", "size"), F.lit(_PRIME)) * _FACTOR % _PRIME

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, flat, ranges, read, stored
+from .common import checkpoint, chunks, flat, ranges, read, release, stored
 
 DISTANCE = 4
 SEGMENTS = 5
@@ -631,8 +631,10 @@ def survivors(docs: DataFrame) -> DataFrame:
     distinct = stored(tagged.select("node", *names).dropDuplicates(["node"]), "nodes")
     near = checkpoint(verified(stored(wide_links(distinct), "wide-links"), texts))
     tree = components(near)
+    release(docs.sparkSession)
     more = checkpoint(remaining_links(texts, tree, distinct.count()))
     tree = tree if more.isEmpty() else components(near.union(more))
+    release(docs.sparkSession)
     rooted = tagged.join(tree, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.h").alias("h"))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
