@@ -53,17 +53,18 @@ def find_sorted(texts: DataFrame, query: str | bytes) -> DataFrame:
     return per_text(texts, kernel, "ord int, pos int")
 
 
-def find_many(texts: DataFrame, queries: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def find_many(texts: DataFrame, queries: DataFrame, doc_id: str = "doc_id", first: bool = False) -> DataFrame:
     """doc_id, query_id, pos of all occurrences of all queries(query_id, q BINARY or STRING).
 
-    While the queries have at most BROADCAST_BYTES they go to every task at once, as a table by length; beyond, texts and
-    queries meet in an equi-join on the hash of the queries' first bytes.
+    With `first` only the first occurrence of each query (a row of queries) in each text (a row of texts).  While the
+    queries have at most BROADCAST_BYTES they go to every task at once, as a table by length; beyond, texts and queries
+    meet in an equi-join on the hash of the queries' first bytes.
     """
     kind = queries.schema["q"].dataType.simpleString()
     named = queries.select("query_id", (F.col("q") if kind == "binary" else F.encode("q", "UTF-8")).alias("q")).where("q IS NOT NULL")
     held = named.agg(F.sum(F.octet_length("q") + 32)).first()[0] or 0
     if held > BROADCAST_BYTES:
-        return find_many_joined(texts, named, doc_id)
+        return find_many_joined(texts, named, doc_id, first)
     by_length: dict[int, dict[bytes, list]] = {}
     for r in named.collect():
         q = bytes(r["q"])
@@ -72,30 +73,39 @@ def find_many(texts: DataFrame, queries: DataFrame, doc_id: str = "doc_id") -> D
     def kernel(text):
         for size, known in by_length.items():
             if size == 0:
-                yield from ((i, p) for i in known[b""] for p in range(len(text)))
+                yield from ((i, p) for i in known[b""] for p in range(min(len(text), 1) if first else len(text)))
             elif len(known) <= 64:
                 for q, ids in known.items():
-                    for p in suffixes.occurrences(text, q):
+                    for p in suffixes.first_occurrence(text, q) if first else suffixes.occurrences(text, q):
                         yield from ((i, p) for i in ids)
             else:
+                left = dict(known) if first else known
                 for p in range(len(text) - size + 1):
-                    for i in known.get(text[p : p + size], ()):
-                        yield i, p
+                    q = text[p : p + size]
+                    if q in left:
+                        yield from ((i, p) for i in (left.pop(q) if first else left[q]))
 
     return per_text(texts, lambda t: list(kernel(t)), f"query_id {queries.schema['query_id'].dataType.simpleString()}, pos int", keys=(doc_id,))
 
 
-def find_many_joined(texts: DataFrame, queries: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """find_many of any number of queries(query_id, q BINARY): places meet queries on a hash of the first SEED bytes at most, then all bytes are compared."""
-    sized = queries.withColumn("size", F.least(F.octet_length("q"), F.lit(SEED)))
+def find_many_joined(texts: DataFrame, queries: DataFrame, doc_id: str = "doc_id", first: bool = False) -> DataFrame:
+    """find_many of any number of queries(query_id, q BINARY): places meet queries on a hash of the first SEED bytes at most, then all bytes are compared.
+
+    Equal rows of either side are met once and counted; a row is known by its id, which may be null or repeat, and its text.
+    """
+    asked = queries.groupBy("query_id", "q").agg(F.count(F.lit(1)).alias("asked"))
+    sized = asked.withColumn("size", F.least(F.octet_length("q"), F.lit(SEED)))
     sizes = [r["size"] for r in sized.select("size").distinct().collect()]  # SEED + 1 at most
-    wanted = sized.select("query_id", "q", "size", F.xxhash64(F.expr("substring(q, 1, size)")).alias("h"))
-    there = texts.where(F.octet_length("text") > 0)
-    places = there.select(doc_id, "text", F.explode(F.expr("sequence(0, octet_length(text) - 1)")).alias("pos"))
-    each = places.select(doc_id, "text", "pos", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size"))
-    seeds = each.where("pos + size <= octet_length(text)").select(doc_id, "pos", "size", F.xxhash64(F.expr("substring(text, pos + 1, size)")).alias("h"))
-    met = seeds.join(wanted, ["size", "h"]).join(there.select(doc_id, "text"), doc_id)
-    return met.where(F.expr("substring(text, pos + 1, octet_length(q)) = q")).select(doc_id, "query_id", "pos")
+    wanted = sized.select("query_id", "q", "asked", "size", F.xxhash64(F.expr("substring(q, 1, size)")).alias("h"))
+    there = texts.where(F.octet_length("text") > 0).groupBy(doc_id, "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("t", F.xxhash64("text"))
+    places = there.select(doc_id, "t", "text", F.explode(F.expr("sequence(0, octet_length(text) - 1)")).alias("pos"))
+    each = places.select(doc_id, "t", "text", "pos", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size"))
+    seeds = each.where("pos + size <= octet_length(text)").select(F.col(doc_id).alias("own"), F.col("t").alias("own_t"), "pos", "size", F.xxhash64(F.expr("substring(text, pos + 1, size)")).alias("h"))
+    met = seeds.join(wanted, ["size", "h"]).join(there, F.col("own").eqNullSafe(F.col(doc_id)) & (F.col("own_t") == F.col("t")))
+    hits = met.where(F.expr("substring(text, pos + 1, octet_length(q)) = q")).select(doc_id, "t", "query_id", "q", "pos", (F.col("copies") * F.col("asked")).alias("times"))
+    if first:
+        hits = hits.groupBy(doc_id, "t", "query_id", "q", "times").agg(F.min("pos").alias("pos"))
+    return hits.select(doc_id, "query_id", "pos", F.explode(F.expr("sequence(1, times)")).alias("time")).drop("time")
 
 
 def _prefix(text: Column, pos: Column, size: int) -> Column:

@@ -47,3 +47,16 @@ def test_query(spark, con, name):
     names, want = [d[0] for d in c.description], c.fetchall()
     assert sorted(names) == sorted(df.columns)
     assert sorted(tuple(plain(r[n]) for n in names) for r in got) == sorted(tuple(map(plain, r)) for r in want)
+
+
+def test_find_many_where_items_repeat_in_a_document(spark, tmp_path):
+    docs = [(1, "one two one two"), (1, "two one"), (2, "aaaa"), (2, "aaaa"), (None, "é one"), (3, None), (4, "")]
+    items = [(1, "one"), (2, "aa"), (2, "aa"), (3, ""), (4, None), (None, "two")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = c.execute(catalogue.ORACLE_SQL["find_many"]).fetchall()
+    got = catalogue.QUERIES["find_many"](spark, str(tmp_path)).select("doc_id", "query_id", "pos").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) == 15

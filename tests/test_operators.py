@@ -77,6 +77,19 @@ def test_many_queries_by_join(table, spark, monkeypatch):
     assert sorted(rows(got, "doc_id", "query_id", "pos")) == want
 
 
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_first_of_many_queries(spark, limit, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST_BYTES", limit)
+    held = [(1, b"banana ana"), (1, b"an apple, banana"), (None, b"banana"), (2, b"banana"), (2, b"banana"), (3, None), (4, b"")]
+    asked = [(7, b"ana"), (7, b"ana"), (8, b"an"), (None, b"banana"), (9, b"zz"), (10, None), (11, b"a" * 20), *((20 + k, b"%03d" % k) for k in range(70)), (12, b"")]
+    t = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in held], "doc_id long, text binary")
+    q = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in asked], "query_id int, q binary")
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    for first in (True, False):
+        want = [(i, k, p) for i, x in held if x for k, y in asked if y is not None for p in [p for p in range(len(x)) if x.startswith(y, p)][: 1 if first else None]]
+        assert sorted(rows(search.find_many(t, q, first=first), "doc_id", "query_id", "pos"), key=order) == sorted(want, key=order)
+
+
 def test_bisect(table):
     i, packed = index.build_index(table), index.packed_texts(table)
     for q in (b"", b"a", b"an", b"b", b"\xff", b"zz"):
