@@ -12,8 +12,11 @@ rows than the run has).  Runs beyond BLOCK rows are compared block against block
 come from alternating large-star and small-star rounds over those links.
 
 For corpus cleaning (survivors) texts link from an exact Jaccard similarity of 0.8 over their sets of five-word shingles,
-which 64 bits cannot tell.  First rows meet whose WIDE_LANES * 64-bit fingerprints differ in at most WIDE_DISTANCE bits
-and have one segment equal; each such link is verified on the texts.  That is fast for large groups but misses pairs, so
+which 64 bits cannot tell.  First rows meet whose WIDE_LANES * 64-bit fingerprints differ in at most WIDE_DISTANCE bits,
+by the same pigeonring search: the RING segments of all lanes form one ring, the chain of l segments from some start on
+differs in at most floor(l * WIDE_DISTANCE / RING) = l - 1 bits, and keys hold the first segment and one half of the
+second.  No such pair is missed; each link is verified on the texts.  That is fast for large groups, but a similarity of
+0.8 may leave more bits apart (beyond RING - 1 no chain need begin with an equal segment, so that keys cannot be exact), so
 a complete search follows among texts not yet in one component: of two sets with a similarity of 0.8 or more, the first
 n - ceil(0.8 n) + 1 members in any one order of all shingles share a member.  The order takes shingles that are frequent
 in a sample of FREQUENT_SAMPLE texts last, which saves work and changes no result.  A shingle is known by 64 hash bits.
@@ -36,7 +39,9 @@ SEGMENTS = 5
 BOUNDS = (0, 13, 26, 39, 52, 64)
 BLOCK = 1024
 SHINGLE = 4
-WIDE_LANES, WIDE_SHINGLE, WIDE_DISTANCE = 4, 5, 44
+WIDE_LANES, WIDE_SHINGLE = 4, 5
+RING = WIDE_LANES * SEGMENTS
+WIDE_DISTANCE = RING - 1  # the most for which a chain begins with an equal segment
 FREQUENT_SAMPLE, FREQUENT_LEAST, FREQUENT_MOST = 5000, 5, 50_000
 BROADCAST_ROOTS = 1_000_000  # rows of two numbers
 SALTS = 32
@@ -50,6 +55,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = 32
 _SPACE = np.uint8(32)
+_MASKS = np.array([((1 << (BOUNDS[k + 1] - BOUNDS[k])) - 1) << BOUNDS[k] for k in range(SEGMENTS)], np.uint64)
 
 
 def _rotl(x, r):
@@ -310,18 +316,35 @@ def _links(batches):
     yield from _streamed(batches, small, large)
 
 
+def _wide_within(diff: list[np.ndarray], start) -> np.ndarray:
+    """Of pairs whose lanes differ in the bits `diff`: whether the chain from `start` stays within its budgets, round the ring to WIDE_DISTANCE."""
+    lanes = np.stack(diff, -1)
+    start = np.broadcast_to(start, len(lanes))
+    live, run = np.arange(len(lanes)), np.zeros(len(lanes), np.int64)
+    for length in range(1, RING + 1):
+        lane, k = np.divmod((start[live] + length - 1) % RING, SEGMENTS)
+        run = run + np.bitwise_count(lanes[live, lane] & _MASKS[k])
+        ok = run <= length * WIDE_DISTANCE // RING
+        live, run = live[ok], run[ok]
+        if not len(live):
+            break
+    out = np.zeros(len(lanes), bool)
+    out[live] = True
+    return out
+
+
 def _wide_links(batches):
-    """Links of wide fingerprints (k, node, f0, f1, ...): the full check."""
+    """Links of wide fingerprints (k, node, f0, f1, ...): the chain from the key's start, round the whole ring."""
 
     def bits(c):  # unsigned: bitwise_count takes the absolute value of signed numbers
         return [x.view(np.uint64) for x in c[2:]]
 
     def small(c, i, j):
-        return sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in bits(c)) <= WIDE_DISTANCE
+        return _wide_within([x[i] ^ x[j] for x in bits(c)], (c[0][i] >> 32) // 2)
 
     def large(c):
-        f = bits(c)
-        return lambda a, b, p, q: sum(np.bitwise_count(x[a:b, None] ^ x[None, p:q]).astype(np.int16) for x in f) <= WIDE_DISTANCE
+        f, start = bits(c), int((c[0][0] >> 32) // 2)
+        return lambda a, b, p, q: _wide_within([(x[a:b, None] ^ x[None, p:q]).ravel() for x in f], start).reshape(b - a, q - p)
 
     yield from _streamed(batches, small, large)
 
@@ -357,11 +380,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _wide_keys(lanes: list):
+    """For each start on the ring of all lanes' segments: the first segment, half of the second."""
+    out = []
+    for i in range(RING):
+        (lane, k), (lane2, k2) = divmod(i, SEGMENTS), divmod((i + 1) % RING, SEGMENTS)
+        width = BOUNDS[k2 + 1] - BOUNDS[k2]
+        for a in range(2):
+            key = F.lit((i * 2 + a) << 32).cast("long").bitwiseOR(F.shiftleft(_segment(lanes[lane], k), 16))
+            out.append(key.bitwiseOR(_segment(lanes[lane2], k2, width * a // 2, width * (a + 1) // 2)))
+    return F.array(*out)
+
+
 def wide_links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes of wide fingerprints (node, f0, f1, ...; one row each) that have a segment equal."""
+    """Links (u, v) between nodes of wide fingerprints (node, f0, f1, ...; one row each) that reach the same components as all pairs within WIDE_DISTANCE."""
     names = [f"f{k}" for k in range(WIDE_LANES)]
-    keys = F.array(*[F.lit((lane * SEGMENTS + k) << 16).cast("long").bitwiseOR(_segment(F.col(n), k)) for lane, n in enumerate(names) for k in range(SEGMENTS)])
-    keyed = distinct.select(F.explode(keys).alias("k"), "node", *names)
+    keyed = distinct.select(F.explode(_wide_keys([F.col(n) for n in names])).alias("k"), "node", *names)
     return keyed.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_wide_links, "u long, v long").distinct()
 
 

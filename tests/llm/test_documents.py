@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -237,6 +238,40 @@ def test_wide_links_find_pairs_within_the_distance(spark, copies):
     assert {r["doc_id"]: r["component_id"] for r in simhash.with_wide_component(df).collect()} == want
 
 
+def test_wide_links_are_the_pairs_within_the_distance(spark):
+    """Isolated pairs of 0 to 44 bits apart, some with all segments but one equal or one alone equal."""
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    edges = [64 * lane + b for lane in range(simhash.WIDE_LANES) for b in simhash.BOUNDS[:-1]]
+    for apart in range(45):
+        for kind in range(6):
+            f = [int(x) for x in rng.integers(0, 1 << 63, simhash.WIDE_LANES)]
+            spread = rng.choice(256, apart, replace=False) if kind else range(edges[apart % 20], edges[apart % 20] + min(apart, 12))
+            if kind == 5 and apart >= 19:  # two bits in every other segment or in all but one
+                spread = [e + x for n, e in enumerate(edges) if n % 2 for x in range(2)] if apart % 2 else [e + x for n, e in enumerate(edges) if n for x in range(2)]
+            other = list(f)
+            for b in spread:
+                other[int(b) // 64] ^= 1 << int(b) % 64
+            if len(spread) <= 19:
+                want.add((len(rows), len(rows) + 1))
+            for x in (f, other):
+                rows.append((len(rows), *(y - (1 << 64) if y >> 63 else y for y in x)))
+    df = spark.createDataFrame(rows, "node long, " + ", ".join(f"f{k} long" for k in range(simhash.WIDE_LANES)))
+    assert {(r["u"], r["v"]) for r in simhash.wide_links(df).collect()} == want
+
+
+def test_wide_links_follow_the_chain_from_the_key():
+    """Rows of one key whose second segment is too far, though the whole distance is small: another start has to find them."""
+    f = np.zeros((2, simhash.WIDE_LANES), np.int64)
+    f[1, 0] = 0b11 << 20  # two bits of the second segment, beyond the key's half
+
+    def links(start):
+        batch = pa.RecordBatch.from_arrays([pa.array([start * 2 << 32] * 2), pa.array([5, 6]), *(pa.array(f[:, k].copy()) for k in range(simhash.WIDE_LANES))], ["k", "node", "f0", "f1", "f2", "f3"])
+        return [(u, v) for b in simhash._wide_links(iter([batch])) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+    assert [start for start in range(simhash.RING) if links(start)] == [start for start in range(2, simhash.RING)]
+
+
 def test_survivors(clashing, nothing, edges):
     kept = simhash.survivors(clashing)
     assert kept.columns == clashing.columns
