@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, stored
+from .common import read, release, shared_dir, stored
 
 MIN_BYTES = 0  # smaller payloads are stored in each record
 RECORDS_PER_FILE = 50_000
@@ -125,13 +125,17 @@ def field(name: str, pattern: str = r"[^\r\n]*"):
 
 
 def content_store(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """headers (header, key) and payloads (key, payload, sha1), each payload once and held against its digests and length."""
+    """headers (header, key) and payloads (key, payload, sha1, payload_bytes), each payload once and held against its digests and length.
+
+    No column of the payloads is had without that check, so that a reader of digests and lengths alone moves no payload.
+    """
     headers = parsed.select("header", field("X-Payload-SHA256").alias("key"))
     full = parsed.where(F.col("payload").isNotNull()).select("header", "payload", field("X-Payload-SHA256").alias("key"), F.sha1(F.encode("payload", "UTF-8")).alias("x"))
-    full = full.withColumn("sha1", base32_of_hex(F.col("x")))
-    same = (F.sha2("payload", 256) == F.col("key")) & (F.octet_length("payload") == field("X-Payload-Length").cast("int")) & (F.col("sha1") == field("WARC-Payload-Digest", "sha1:.*").substr(6, 32))
-    checked = full.select("key", "sha1", F.when(same, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), "header"))).alias("payload"))
-    return headers, checked.groupBy("key").agg(F.first("payload").alias("payload"), F.first("sha1").alias("sha1"))
+    full = full.withColumn("sha1", base32_of_hex(F.col("x"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    same = (F.sha2("payload", 256) == F.col("key")) & (F.col("payload_bytes") == field("X-Payload-Length").cast("long")) & (F.col("sha1") == field("WARC-Payload-Digest", "sha1:.*").substr(6, 32))
+    names = ["payload", "sha1", "payload_bytes"]
+    checked = full.select("key", F.when(same, F.struct(*names)).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), "header"))).alias("good")).select("key", "good.*")
+    return headers, checked.groupBy("key").agg(*[F.first(n).alias(n) for n in names])
 
 
 def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -143,9 +147,10 @@ def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
 def query(spark, sf_dir) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    release(spark)  # of the shuffled payloads, as they are in the archive now
     headers, payloads = content_store(read_archive(spark, path))
     # What the result needs of a payload: its length and digest, taken from the bytes that came back and checked.
-    seen = payloads.select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("sha1").alias("payload_digest"))
+    seen = payloads.select("key", "payload_bytes", F.col("sha1").alias("payload_digest"))
     row = stored(headers, "record-headers").join(stored(seen, "payloads"), "key", "left")
     name = lambda f: F.regexp_extract("header", rf"(?m)^{f}: <urn:page:(-?\d+)>", 1).try_cast("long")
     return row.select(name("WARC-Record-ID").alias("page_id"), "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), name("WARC-Refers-To").alias("refers_to"))

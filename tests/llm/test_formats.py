@@ -247,3 +247,18 @@ def test_warc_round_trip(spark, tmp_path, alone):
     bad = records.withColumn("payload", records.payload.substr(2, 1000))
     with pytest.raises(Exception, match="differs from its digest"):
         warc.content_store(bad)[1].collect()
+
+
+def test_warc_digests_without_payloads(spark, tmp_path):
+    """Who reads digests and lengths alone shuffles no payload, and yet each payload has been held against its digest."""
+    bodies = ["<p>a</p>", "é漢" * 500, "", "\r\n\r\nWARC/1.1"]
+    df = spark.createDataFrame([(i, f"http://h/{i}", b) for i, b in enumerate([*bodies, bodies[0]])] + [(None, None, "alone"), (None, None, "alone")], "page_id long, url string, html string")
+    warc.archive(df, str(tmp_path / "w"))
+    records = warc.read_archive(spark, str(tmp_path / "w"))
+    digests = warc.content_store(records)[1].select("key", "sha1", "payload_bytes")
+    assert "first(payload#" not in digests._jdf.queryExecution().optimizedPlan().toString()
+    hashed = lambda b: (hashlib.sha256(b).hexdigest(), base64.b32encode(hashlib.sha1(b).digest()).decode(), len(b))
+    assert sorted(tuple(r) for r in digests.collect()) == sorted(hashed(b.encode()) for b in [*bodies, "alone"])
+    bad = records.withColumn("payload", records.payload.substr(2, 1000))
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.content_store(bad)[1].select("key", "sha1").collect()
