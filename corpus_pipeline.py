@@ -11,33 +11,51 @@ make nothing toxic and an empty benchmark leaves all documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandex.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
-from strandex.llm.common import read, stored
+from strandex.llm.common import read, release, stored
+
+
+def released(stage):
+    """The stage, begun with what the driver held for the one before given back."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
 
 
+@released
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), keep="clean")
 
 
+@released
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: that with the smallest doc_id."""
     return simhash.survivors(docs)
 
 
+@released
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that start earlier in the corpus."""
     return suffix_dedup.deduplicate(docs)
 
 
+@released
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+@released
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken (copy counts from 1), with its source's target."""
     out = mixing.mix(docs).where("copies > 0")

@@ -142,3 +142,19 @@ def test_stages_take_edge_rows(spark, edges, nothing, clashing, tmp_path):
             else:
                 assert out.columns == docs.columns
             assert out.count() <= 3 * n
+
+
+def test_driver_memory_is_given_back(spark, monkeypatch):
+    """The JVM can be told to give freed native memory back; every stage begins with that, every cut of a lineage ends with it."""
+    from strandex.llm import common
+
+    assert common.trim_jvm(spark)
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "release", calls.append)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(AttributeError):
+            stage(None, None, "")
+    assert calls == [None] * len(corpus_pipeline.STAGES)
+    monkeypatch.setattr(common, "trim_jvm", calls.append)
+    assert common.checkpoint(spark.range(3)).count() == common.stored(spark.range(3), "three").count() == 3
+    assert calls[len(corpus_pipeline.STAGES):] == [spark, spark]
